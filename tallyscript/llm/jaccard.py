@@ -108,7 +108,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     for band, m in bands.of(len(s)):
         sums = np.zeros(m, _U)
         np.add.at(sums, (s % _U(m)).astype(np.int64), _mixed(s + _MULS[1]))
-        keys.append(_mixed(sums + _MULS[2] * np.arange(m, dtype=_U) + _MULS[3] * _U(band + 1)))
+        keys.append(_mixed(sums + _MULS[2] * np.arange(m, dtype=_U) + _MULS[3] * np.array([band + 1], _U)))
     return np.concatenate(keys) if keys else np.empty(0, _U)
 
 
