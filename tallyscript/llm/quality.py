@@ -4,7 +4,7 @@
   held out, whatever their label: the learner never sees a negative label.
 * The class prior pi is estimated as the share of 1 among the training labels, times `PRIOR_MARGIN`: the risk of
   overfitting starts where pi exceeds the truth.
-* The risk is pi R+(f, 1) + max(0, Ru(f, 0) - pi R+(f, 0)) with the logistic loss; where the second term falls below
+* The risk is pi R+(f, 1) + max(0, Ru(f, 0) - pi R+(f, 0)) with the sigmoid loss; where the second term falls below
   zero, its gradient is turned round. f is linear in the text statistics below, each cut into quantile bins.
 * The score is sigmoid(f): 0 to 1, higher for likelier quality 1. Features are of the text alone.
 
@@ -90,13 +90,10 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     w = np.zeros(width)
     m, v = np.zeros(width), np.zeros(width)
     for step in range(1, steps + 1):
-        fp, fu = w[positive].sum(1), w[unlabelled].sum(1)
-        up, uu = _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        if negative >= 0:
-            cp, cu = prior * (up - 1 / len(fp)) - prior * up, uu
-        else:
-            cp, cu = prior * up, -uu
+        p, u = _sigmoid(w[positive].sum(1)), _sigmoid(w[unlabelled].sum(1))
+        negative = u.mean() - prior * p.mean()
+        dp, du = p * (1 - p) / len(p), u * (1 - u) / len(u)
+        cp, cu = (-2 * prior * dp, du) if negative >= 0 else (prior * dp, -du)
         g = l2 * w
         for part, c in ((positive, cp), (unlabelled, cu)):
             g = g + np.bincount(part.ravel(), np.repeat(c, part.shape[1]), width)
