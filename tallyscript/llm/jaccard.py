@@ -20,7 +20,8 @@ Jaccard distance is a metric on finite sets, and |A delta B| one on which it is
 Copies: equal sets are one class with a multiplicity, so they cost one comparison.
 
 Nulls and empty texts have an empty set, link with nothing and are their own component. Rows that repeat a
-doc_id are documents of their own and give a row each. Further columns are ignored.
+doc_id are documents of their own and give a row each; rows without a doc_id count as copies of equal sets only.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -358,7 +359,7 @@ def similar(
         salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / region_rows)).cast("int")
         chosen_pivots = rest.where((share * F.col("rows") < pivots) | (F.col("node") == last))
         left = rest.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("rows")
-        right = chosen_pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "node", "items")
+        right = stored(chosen_pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "node", "items"))
         parent = big
         sets = stored(
             left.groupBy("path", "salt").cogroup(right.groupBy("path", "salt")).applyInArrow(_assign(num, den), "path array<long>, homes array<long>, node long, mult long, items binary")
@@ -379,7 +380,14 @@ def similar(
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the smallest id; all columns stay."""
-    near = similar(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each component, that with the smallest id; all columns stay, and so do rows without an id.
+
+    Rows that repeat both id and text are one document; only ids that repeat are shuffled with their texts.
+    """
+    near = stored(similar(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     kept = docs.join(near, "doc_id", "left_anti")
-    return kept
+    if not repeated.head(1):
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
