@@ -75,26 +75,27 @@ def edit_script(ref: Column, hyp: Column, normalized: bool = True) -> Column:
     """The edit script of two token arrays, as OPS."""
     from pyspark.sql.pandas.functions import arrow_udf
 
-    @arrow_udf("array<struct<type:string,r:int,h:int>>")
+    field = "norm" if normalized else "raw"
+
+    @arrow_udf(OPS)
     def ops(a: pa.Array, b: pa.Array) -> pa.Array:
         rows = []
         for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            rows.append(None if x is None or y is None else [{"type": t, "r": None if t == INSERT else i, "h": None if t == DELETE else j} for t, i, j in script(x, y)])
-        return pa.array(rows, pa.list_(pa.struct([("type", pa.string()), ("r", pa.int32()), ("h", pa.int32())])))
+            if x is None or y is None:
+                rows.append(None)
+                continue
+            own = []
+            for kind, i, j in script([t[field] for t in x], [t[field] for t in y]):
+                o: dict = {"type": kind, "hyp_lp": False, "hyp_rp": False, "ref_lp": False, "ref_rp": False}
+                if kind != INSERT:
+                    o |= {"ref": x[i][field], "ref_idx": i, "ref_start": x[i]["start"], "ref_end": x[i]["end"]}
+                if kind != DELETE:
+                    o |= {"hyp": y[j][field], "hyp_idx": j, "hyp_start": y[j]["start"], "hyp_end": y[j]["end"]}
+                own.append(o)
+            rows.append(own)
+        return pa.array(rows, _OP_ARROW)
 
-    field = "norm" if normalized else "raw"
-    core = ops(F.transform(ref, lambda t: t[field]), F.transform(hyp, lambda t: t[field]))
-
-    def full(o: Column) -> Column:
-        # Spans come from the tokens, so they needn't cross to Python.
-        r, h = F.get(ref, o["r"]), F.get(hyp, o["h"])
-        return F.struct(
-            o["type"].alias("type"), r[field].alias("ref"), h[field].alias("hyp"), o["r"].alias("ref_idx"), o["h"].alias("hyp_idx"),
-            r["start"].alias("ref_start"), r["end"].alias("ref_end"), h["start"].alias("hyp_start"), h["end"].alias("hyp_end"),
-            *(F.lit(False).alias(x) for x in ("hyp_lp", "hyp_rp", "ref_lp", "ref_rp")),
-        )
-
-    return F.transform(core, full)
+    return ops(ref, hyp)
 
 
 def _char_table(a: str, b: str) -> np.ndarray:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One character for each distinct token of a pair; no surrogates, all in the basic plane.
-ALPHABET = "".join(map(chr, [*range(0x4E00, 0xA000), *range(0xAC00, 0xD7A4), *range(0x3400, 0x4DC0), *range(0xE000, 0xF900)]))
+#: A pair's distinct tokens become the characters from FIRST on; so many there are without surrogates.
+FIRST, ALPHABET = 0x3400, 0xA000 - 0x3400
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def char_distance(a: Column, b: Column) -> Column:
@@ -39,14 +46,21 @@ def _beyond():
     return distance
 
 
-def token_distance(ref: Column, hyp: Column, alphabet: int = len(ALPHABET)) -> Column:
+def token_distance(ref: Column, hyp: Column, alphabet: int = ALPHABET) -> Column:
     """Levenshtein distance of two arrays of strings.
 
     Each distinct token of the pair becomes a character, and the built-in distance does the rest. Pairs of more
     distinct tokens than there are characters go to Python.
     """
-    seen = F.array_distinct(F.concat(ref, hyp))
-    code = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.substring(F.lit(ALPHABET), F.array_position(seen, t).cast("int"), 1)), "")
-    few = F.size(seen) <= alphabet
-    long = _beyond()(F.when(~few, ref), F.when(~few, hyp))
-    return F.when(few, F.levenshtein(code(ref), code(hyp))).otherwise(long).cast("long")
+
+    def coded(tokens: Column, seen: Column) -> Column:
+        at = lambda t: F.hex(F.array_position(seen, t) + (FIRST - 1))
+        return F.decode(F.unhex(F.array_join(F.transform(tokens, at), "")), "UTF-16BE")
+
+    def distance(x: Column) -> Column:
+        seen = F.array_distinct(F.concat(x["r"], x["h"]))
+        return let(seen, lambda s: F.when(F.size(s) <= alphabet, F.levenshtein(coded(x["r"], s), coded(x["h"], s))))
+
+    short = let(F.struct(ref.alias("r"), hyp.alias("h")), distance)
+    many = F.size(F.array_distinct(F.concat(ref, hyp))) > alphabet
+    return F.coalesce(short, _beyond()(F.when(many, ref), F.when(many, hyp))).cast("long")

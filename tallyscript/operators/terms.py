@@ -32,7 +32,8 @@ def occurrences(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     spark = tokens.sparkSession
     if not lengths:
         return spark.createDataFrame([], f"ex_id {dict(tokens.dtypes)['ex_id']}, side string, vocab string, s int, e int, toks array<string>")
-    grams = F.flatten(F.array(*(F.transform(sequences.windows(F.col("toks"), n), lambda w, i, n=n: F.struct(i.cast("int").alias("s"), w.alias("toks"))) for n in lengths)))
+    starts = [F.transform(sequences.windows(F.col("toks"), n), lambda w, i: F.struct(i.cast("int").alias("s"), w.alias("toks"))) for n in lengths]
+    grams = F.flatten(F.array(*starts))
     windows = tokens.select("ex_id", "side", F.explode(grams).alias("g")).select("ex_id", "side", "g.s", "g.toks")
     found = windows.join(terms, "toks")
     return found.select("ex_id", "side", "vocab", "s", (F.col("s") + F.col("n")).cast("int").alias("e"), "toks")
