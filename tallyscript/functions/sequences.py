@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def texts(tokens: Column, normalized: bool = True) -> Column:
     """The tokens' strings."""
     return F.transform(tokens, lambda t: t["norm" if normalized else "raw"])
@@ -27,8 +34,9 @@ def windows(array: Column, n: int) -> Column:
     """All runs of n neighbouring elements."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    return F.when(F.size(array) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(1))), lambda i: F.slice(array, i, n))).otherwise(
-        F.slice(F.array(array), 1, 0)
+    return let(
+        array,
+        lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1))), lambda i: F.slice(a, i, n))).otherwise(F.slice(F.array(a), 1, 0)),
     )
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.sequences import let
+
 MATCH, INSERT, DELETE, SUBSTITUTE = "MATCH", "INSERT", "DELETE", "SUBSTITUTE"
 OP_TYPES = {MATCH: 0, INSERT: 1, DELETE: 2, SUBSTITUTE: 3}
 OP_FIELDS = "type:string,ref:string,hyp:string,ref_idx:int,hyp_idx:int,ref_start:int,ref_end:int,hyp_start:int,hyp_end:int,hyp_lp:boolean,hyp_rp:boolean,ref_lp:boolean,ref_rp:boolean"
@@ -258,8 +260,8 @@ def index_mapping(ops: Column, side: str = "ref") -> Column:
     """map from a token's index to that of its operation; of several operations the last counts."""
     pairs = F.filter(F.transform(ops, lambda o, i: F.struct(o[f"{side}_idx"].alias("t"), i.alias("o"))), lambda p: p["t"].isNotNull())
     # Alignments are monotone, so operations on one token are neighbours.
-    last = F.filter(pairs, lambda p, i: ~F.equal_null(F.get(pairs, i + 1)["t"], p["t"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.equal_null(F.get(ps, i + 1)["t"], p["t"]))
+    return F.map_from_entries(let(pairs, last))
 
 
 def place(ops: Column, index: Column, side: str = "ref") -> Column:

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.sequences import let
+
 #: A pair's distinct tokens become the characters from FIRST on; so many there are without surrogates.
 FIRST, ALPHABET = 0x3400, 0xA000 - 0x3400
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def char_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance in code points."""
     return F.levenshtein(a, b).cast("long")
