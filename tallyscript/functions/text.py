@@ -7,6 +7,7 @@ Null stays null, the empty string stays empty.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -43,12 +44,17 @@ def strip_punctuation(c: Column) -> Column:
 
 
 def _mapped(c: Column, table: dict[str, str], preserve: str = "") -> Column:
+    """Characters that become one or none by `translate`; texts with such as become several also go through a map.
+
+    The map is one foldable literal, so the plan stays small however often the expression is used.
+    """
     single, to, several = C.parts(table, preserve)
     out = F.translate(c, single, to)
-    long = out
-    for char, text in several.items():
-        long = F.replace(long, F.lit(char), F.lit(text))
-    return F.when(out.rlike(f"[{''.join(several)}]"), long).otherwise(out) if several else out
+    if not several:
+        return out
+    into = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(into, x), F.translate(x, single, to))), "")
+    return F.when(c.rlike(f"[{''.join(several)}]"), long).otherwise(out)
 
 
 def transliterate_latin_letters(c: Column, preserve: str = "") -> Column:
