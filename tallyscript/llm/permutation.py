@@ -1,6 +1,7 @@
 """Permutation index (operator 1): nearest neighbours by the order in which vectors see their pivots.
 
-* `PIVOTS` pivots are the vectors of smallest hash, so the sample is bounded and the same on every run.
+* `PIVOTS` pivots are the different vectors of smallest hash, so the sample is bounded and the same on every run, and
+  a vector that many rows hold is one pivot at most: pivots that are equal would count several times in the footrule.
 * A vector's representation is the list of its pivots from the nearest to the farthest. Each block of at most
   `BLOCK` rows posts it in pivot inverted files: the file of pivot p holds, row by row, the place that p has in a
   row's list (one byte). All rows are indexed.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,24 @@ class Block:
         return self.ids[near[best]], d[best]
 
 
+def _smallest(most: int):
+    """The `most` different vectors of smallest hash of the rows (id, vector), as (hash, vector)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        for b in batches:
+            _, v = matrix(b.column(1))
+            for x in v + 0.0:
+                data = x.tobytes()
+                if data not in held:
+                    held[data] = xxhash.xxh3_64_intdigest(data) - (1 << 63)
+            held = dict(sorted(held.items(), key=lambda x: x[::-1])[:most])
+        vectors = [np.frombuffer(data).tolist() for data in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held.values(), pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], ["hash", "vector"])
+
+    return run
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, _ = matrix(b.column(1))
@@ -125,8 +145,8 @@ def search(vectors: DataFrame, is_query: str, *, id_col: str = "vec_id", vector_
     schema = "id long, vector array<double>"
     queries = shared_dir(spark)
     asked.where("id is not null").mapInArrow(_usable, schema).write.parquet(queries)
-    usable = rows.where("id is not null").mapInArrow(_usable, schema)
-    sample = usable.orderBy(F.xxhash64("id"), "id", "vector").limit(pivots).collect()
+    first = rows.where("id is not null").mapInArrow(_smallest(pivots), "hash long, vector array<double>")
+    sample = first.distinct().orderBy("hash", "vector").limit(pivots).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = len(sample[0]["vector"])
