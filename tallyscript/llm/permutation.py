@@ -2,15 +2,17 @@
 
 * `PIVOTS` pivots are the different vectors of smallest hash, so the sample is bounded and the same on every run, and
   a vector that many rows hold is one pivot at most: pivots that are equal would count several times in the footrule.
-* A vector's representation is the list of its pivots from the nearest to the farthest. Each block of at most
-  `BLOCK` rows posts it in pivot inverted files: the file of pivot p holds, row by row, the place that p has in a
-  row's list (one byte). All rows are indexed.
+* A vector's representation is the list of its pivots from the nearest to the farthest. Each block of some
+  `BLOCK` rows posts each of its different vectors once in pivot inverted files: the file of pivot p holds, vector by
+  vector, the place that p has in its list (one byte). All rows are indexed; equal ones share a posting, which holds
+  the smallest ids of them, as many as an answer can need.
 * A query walks the files of its pivots and adds up |own place - posted place|, the footrule distance. The share
-  `RERANK` of each block that is nearest by it is reranked by the exact Euclidean distance in double precision.
+  `RERANK` of each block's different vectors that is nearest by it, with all that tie with the last of them, is
+  reranked by the exact Euclidean distance in double precision.
 
 The queries are a stated set, written once to the shared folder; each task streams them in chunks past its blocks of
 rows and keeps the k best per query and block, so rows are never shuffled and the shuffle holds k rows per query and
-block. Since the reranked part is a share of the rows, recall doesn't fall as the table grows.
+block. Since the reranked part is a share of the vectors, recall doesn't fall as the table grows.
 
 Vectors that are null, zero or hold null or non-finite components take no part, as query or candidate. Ties in
 distance go to the smaller id; repeated ids are candidates each. Fewer than k candidates give fewer rows.
@@ -45,29 +47,48 @@ def places(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The inverted files of a block of rows."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray) -> None:
-        self.ids, self.v = ids, v
-        self.files = np.ascontiguousarray(places(v, pivots).T)
+    """The inverted files of a block of rows, and the ids of each of its different vectors."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> None:
+        v = np.ascontiguousarray(v + 0.0)
+        _, first, of = np.unique(v.view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        # A query leaves out the rows of its own id, so k rows remain of k and as many as any id has.
+        self.k, self.most = k, k + int(np.unique(ids, return_counts=True)[1].max())
+        order = np.lexsort((ids, of))
+        size = np.bincount(of)
+        start = np.cumsum(size) - size
+        kept = np.arange(len(ids)) - start[of[order]] < self.most
+        self.ids = ids[order][kept]
+        self.size = np.minimum(size, self.most)
+        self.start = np.cumsum(self.size) - self.size
+        self.v = v[first]
+        self.files = np.ascontiguousarray(places(self.v, pivots).T)
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.ids), np.uint16)
+        total = np.zeros(len(self.v), np.uint16)
         for file, place in zip(self.files, query, strict=True):
             total += np.maximum(file, place) - np.minimum(file, place)
         return total
 
-    def nearest(self, own: int, q: np.ndarray, query: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, own: int, q: np.ndarray, query: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest rows found, those with the query's own id left out."""
-        n = max(4 * k + 1, int(np.ceil(share * len(self.ids))))
-        near = np.argpartition(self.footrule(query), n)[:n] if n < len(self.ids) else np.arange(len(self.ids))
-        near = near[self.ids[near] != own]
+        n = max(3 * self.k + self.most, int(np.ceil(share * len(self.v))))
+        if n < len(self.v):
+            far = self.footrule(query)
+            near = np.flatnonzero(far <= np.partition(far, n - 1)[n - 1])
+        else:
+            near = np.arange(len(self.v))
         d = np.sqrt(((self.v[near] - q) ** 2).sum(1))
-        if len(d) > k:
-            close = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+        if len(d) > self.most:
+            close = np.flatnonzero(d <= np.partition(d, self.most - 1)[self.most - 1])
             near, d = near[close], d[close]
-        best = np.lexsort((self.ids[near], d))[:k]
-        return self.ids[near[best]], d[best]
+        size = self.size[near]
+        at = np.repeat(self.start[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ids, d = self.ids[at], np.repeat(d, size)
+        other = ids != own
+        ids, d = ids[other], d[other]
+        best = np.lexsort((ids, d))[: self.k]
+        return ids[best], d[best]
 
 
 def _smallest(most: int):
@@ -111,7 +132,7 @@ def _search(queries: str, pivots: np.ndarray, k: int, share: float):
                 continue
             own, near, far = [], [], []
             for q, x, p in zip(ids.tolist(), v, places(v, pivots), strict=True):
-                i, d = block.nearest(q, x, p, k, share)
+                i, d = block.nearest(q, x, p, share)
                 own.append(np.full(len(i), q))
                 near.append(i)
                 far.append(d)
@@ -127,10 +148,10 @@ def _search(queries: str, pivots: np.ndarray, k: int, share: float):
             held.append(v)
             n += len(rows)
             if n >= BLOCK:
-                yield from found(Block(np.concatenate(ids), np.concatenate(held), pivots))
+                yield from found(Block(np.concatenate(ids), np.concatenate(held), pivots, k))
                 ids, held, n = [], [], 0
         if n:
-            yield from found(Block(np.concatenate(ids), np.concatenate(held), pivots))
+            yield from found(Block(np.concatenate(ids), np.concatenate(held), pivots, k))
 
     return run
 

@@ -31,3 +31,23 @@ def test_recall_beside_copies(a_third_copies):
     v, hot, found = a_third_copies
     others = [q for q in range(0, 4000, 40) if q not in hot]
     assert sum(len(set(found[q]) & set(nearest(v, q))) for q in others) >= 0.9 * 10 * len(others)
+
+
+def test_copies_of_smallest_id(a_third_copies):
+    v, hot, found = a_third_copies
+    own = [q for q in range(0, 4000, 40) if q in hot]
+    assert own and all(found[q] == nearest(v, q) for q in own)
+
+
+def test_block_with_repeated_ids():
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((60, 4))[rng.integers(0, 60, 3000)]
+    v[:900] = v[0]
+    ids = rng.integers(0, 400, 3000)
+    ids[:30] = 5
+    block = permutation.Block(ids, v, v[900:920], 10)
+    for q in (0, 1000, 2999):
+        got, far = block.nearest(int(ids[q]), v[q], permutation.places(v[q : q + 1], v[900:920])[0], 1.0)
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:10]
+        assert got.tolist() == ids[best].tolist() and far.tolist() == d[best].tolist()
