@@ -16,6 +16,9 @@ Nulls and empty texts are documents of one token (the end mark). Rows that repea
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +40,7 @@ def encoder(path: str):
     """A fast encoder for a byte-level vocabulary whose merges follow the ranks, kept by the worker process.
 
     `path` is the .tiktoken rank file; its ids are those that the tokenizers library gives for the .json file
-    of the same vocabulary (the tests compare the two).
+    of the same vocabulary (the tests compare the two), but for added tokens, which `Ids` cuts out first.
     """
     import public_tokenizers
     import tiktoken
@@ -50,12 +53,35 @@ def encoder(path: str):
     return _encoders[key]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the .json file beside the .tiktoken file `path`, which are cut out of a text before all else."""
+    with open(f"{os.path.splitext(path)[0]}.json", encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"the added token {t['content']!r} isn't plain")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Ids:
     """Texts to ids as little-endian unsigned 32-bit bytes, kept by the worker process."""
 
     def __init__(self, path: str) -> None:
         self.encoder, self.chunks = encoder(path), Chunks(self.words)
         (self.line,) = self.encoder.encode_ordinary("\n")
+        self.added = {t: i.to_bytes(4, "little") for t, i in added_tokens(path).items()}
+        self.split = re.compile("|".join(["(?!)", *map(re.escape, sorted(self.added, key=len, reverse=True))]))
+
+    def holds_added(self, text: str | None) -> bool:
+        return bool(text) and any(t in text for t in self.added)
+
+    def with_added(self, text: str) -> bytes:
+        """The ids of a text that is cut at the added tokens, each part being a text of its own."""
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [self.whole(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self.whole(text[at:])])
 
     def whole(self, text: str) -> bytes:
         return self.encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
@@ -72,8 +98,12 @@ class Ids:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for text, cut in zip(texts, self.chunks.of(texts), strict=True):
-            out.append(b"" if not text else self.whole(text) if cut is None else self.whole(cut[0]) + b"".join(cut[1]))
+        added = [self.holds_added(t) for t in texts]
+        for text, apart, cut in zip(texts, added, self.chunks.of([None if x else t for t, x in zip(texts, added, strict=True)]), strict=True):
+            if apart:
+                out.append(self.with_added(text))
+            else:
+                out.append(b"" if not text else self.whole(text) if cut is None else self.whole(cut[0]) + b"".join(cut[1]))
         return out
 
 

@@ -1,11 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
+import zlib
+
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 
-from tallyscript.llm import permutation
+from tallyscript.llm import packing, permutation
 
-from .test_operators import rows, vectors
+from .test_operators import RANKS, documents, rows, vectors
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +55,17 @@ def test_block_with_repeated_ids():
         d = np.sqrt(((v - v[q]) ** 2).sum(1))
         best = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:10]
         assert got.tolist() == ids[best].tolist() and far.tolist() == d[best].tolist()
+
+
+END = "<|endoftext|>"
+MARKED = [f"a {END} b", END, END * 3, f"{END}a", f"a{END}", f" {END} ", f"a{END}b c\n\n{END}  d <|endoftext| > {END[:-1]}", "é  ſ\u3000x 12's " * 40, "plain words only", "", " \n", f"x y {END} " * 1500]
+
+
+def test_ids_of_tokenizers(spark):
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(MARKED)}
+    out = rows(packing.pack(documents(spark, enumerate(MARKED)), RANKS))
+    for i, x in ids.items():
+        pieces = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in pieces) == len(x)
+        assert all(r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for r in pieces)
