@@ -1,8 +1,9 @@
 """Embedding near-duplicates (operator 8): sorted projection passes, then exact links inside what they tie together.
 
 * Equal vectors with equal labels are one class with a multiplicity, so copies cost one comparison.
-* A class has a print of 256 random-hyperplane bits. Each of `PASSES` passes orders the classes of a label
-  lexicographically by the print, read from another place on, so the hashes that count first are new ones.
+* A class has a print of 256 random-hyperplane bits. Each pass orders the classes of a label lexicographically by
+  the print, read from another place on, so the hashes that count first are new ones; after `PASSES` passes, all bits
+  are shuffled. A label of more classes has more passes (`passes_for`), so that a pair's chance to be missed stays.
   Each class is held against its `WINDOW` predecessors by the Hamming distance of the prints; prints that are near
   (a pair at the threshold lies nearly five standard deviations inside the bound) tie two classes together.
   Only a forest of these ties leaves a task, at most one per class and pass, whatever the size of a group.
@@ -29,6 +30,8 @@ from .vectors import matrix
 BITS = 256
 PASSES = 12
 WINDOW = 64
+#: The share of pairs at the threshold that the passes may miss, were their orders independent.
+MISS = 0.001
 BLOCK = 1024
 
 
@@ -38,6 +41,26 @@ def bound(threshold: float) -> int:
     return int(np.ceil(BITS * p + 4.9 * np.sqrt(BITS * p * (1 - p))))
 
 
+def passes_for(classes: int, threshold: float, least: int, window: int) -> int:
+    """How many passes a label of so many classes needs for its pairs at the threshold.
+
+    A bit agrees for such a pair with the chance 1 - angle / pi. The pair comes within the window about when it agrees
+    in as many first bits as leave `window` classes together, so a pass misses it with the chance 1 - agree ** bits.
+    """
+    agree = 1 - float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    if classes <= window + 1 or not 0 < agree < 1:
+        return least
+    found = agree ** float(np.log2(classes / window))
+    return least if found >= 1 else max(least, int(np.ceil(np.log(MISS) / np.log1p(-found))))
+
+
+def bit_order(k: int, passes: int) -> np.ndarray:
+    """The order in which pass k reads the bits: each `passes` passes begin at places of their own in one order of all."""
+    turn, place = divmod(k, passes)
+    bits = np.random.default_rng([20_241, turn]).permutation(BITS) if turn else np.arange(BITS)
+    return np.roll(bits, -place * (BITS // passes))
+
+
 def planes(width: int) -> np.ndarray:
     return np.random.default_rng(20_241).standard_normal((width, BITS))
 
@@ -58,19 +81,24 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _turned(passes: int):
-    """A row per pass: the order of the pass is the print from that pass's first bit on."""
+def _turned(passes: int, more: dict):
+    """A row per pass of the label (`passes`, or what `more` has for its hash): the print in that pass's order of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = BITS // passes
+        orders = [bit_order(k, passes) for k in range(max([passes, *more.values()]))]
         for b in batches:
             if not b.num_rows:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            for k in range(passes):
-                turned = np.packbits(np.roll(bits, -k * step, axis=1), axis=1)
+            wanted = np.array([more.get(x, passes) for x in b.column(3).to_pylist()]) if more else np.full(b.num_rows, passes)
+            for k, order in enumerate(orders):
+                rows = np.flatnonzero(wanted > k)
+                if not len(rows):
+                    break
+                turned = np.packbits(bits[rows][:, order], axis=1)
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b.num_rows, k, np.int32)), b.column(0), pa.array([x.tobytes() for x in turned], pa.binary()), b.column(1)],
+                    [pa.array(np.full(len(rows), k, np.int32)), b.column(0).take(at), pa.array([x.tobytes() for x in turned], pa.binary()), b.column(1).take(at)],
                     ["pass", "label", "turned", "key"],
                 )
 
@@ -142,10 +170,14 @@ def _across(window: int, most: int):
     return run
 
 
-def _ties(classes: DataFrame, passes: int, window: int, most: int) -> DataFrame:
+def _ties(classes: DataFrame, passes: int, window: int, most: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
+    # Only labels that need more passes than the least come to the driver: each has thousands of classes at the defaults.
+    few = next(n for n in (window * 2**i for i in range(64)) if passes_for(2 * n, threshold, passes, window) > passes or n >= 2**62)
+    many = classes.groupBy("label").count().where(F.col("count") > few).select(F.xxhash64("label").alias("hash"), "count").collect()
+    more = {r["hash"]: passes_for(r["count"], threshold, passes, window) for r in many}
     label = dict(classes.dtypes)["label"]
-    turned = classes.select("label", "key", "bits").mapInArrow(_turned(passes), f"pass int, label {label}, turned binary, key long")
+    turned = classes.select("label", "key", "bits", F.xxhash64("label").alias("hash")).mapInArrow(_turned(passes, more), f"pass int, label {label}, turned binary, key long")
     ordered = turned.repartitionByRange(shuffle_partitions(spark), "pass", "label", "turned", "key").sortWithinPartitions("pass", "label", "turned", "key")
     schema = "a long, b long, part long, place long, head boolean, tag string, bits binary, key long"
     whole = stored(ordered.mapInArrow(_window(window, most), schema))
@@ -201,14 +233,16 @@ def _verify(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id (the smallest id reachable) and kept."""
+    """A row per vector: vec_id, n_links, component_id (the smallest id reachable) and kept.
+
+    `passes` is the least number of passes; labels with many classes have more."""
     columns = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     label = dict(columns.dtypes)["label"]
     usable = columns.where("label is not null").mapInArrow(_prints, f"vec_id long, label {label}, vector array<double>, key long, bits binary")
     prints = stored(usable)
     sizes = prints.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("bits").alias("bits"), F.min("label").alias("label"))
     classes = stored(sizes)
-    clusters = components(_ties(classes, passes, window, bound(threshold)))
+    clusters = components(_ties(classes, passes, window, bound(threshold), threshold))
     clusters = stored(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")))
     members = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("n"))
     inside = classes.select("key", "rep", "mult").join(clusters, "key").join(members, "cluster")

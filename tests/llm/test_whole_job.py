@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 
-from tallyscript.llm import packing, permutation
+from tallyscript.llm import neardup, packing, permutation
 
 from .test_operators import RANKS, documents, rows, vectors
 
@@ -69,3 +69,21 @@ def test_ids_of_tokenizers(spark):
         pieces = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["piece"])
         assert sum(r["length"] for r in pieces) == len(x)
         assert all(r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for r in pieces)
+
+
+def test_more_passes_for_large_labels(spark):
+    """A narrow window stands in for a large label: what counts is how many windows the classes fill."""
+    rng = np.random.default_rng(13)
+    v = rng.standard_normal((3000, 32))
+    side = rng.standard_normal((1000, 32))
+    side -= v[:1000] * ((side * v[:1000]).sum(1) / (v[:1000] ** 2).sum(1))[:, None]
+    side *= np.sqrt((v[:1000] ** 2).sum(1) / (side**2).sum(1))[:, None]
+    v[1000:2000] = 0.935 * v[:1000] + np.sqrt(1 - 0.935**2) * side
+    out = {r["vec_id"]: r for r in rows(neardup.near_duplicates(vectors(spark, [(i, x, 0) for i, x in enumerate(v)]), window=1))}
+    assert sum(out[i]["n_links"] == 1 and out[i + 1000]["component_id"] == i for i in range(1000)) >= 985
+
+
+def test_passes_grow():
+    assert [neardup.passes_for(n, 0.93, 12, 64) for n in (0, 65, 4_000)] == [12, 12, 12]
+    assert 12 < neardup.passes_for(100_000, 0.93, 12, 64) < neardup.passes_for(1_000_000, 0.93, 12, 64) < 60
+    assert all(sorted(neardup.bit_order(k, 12)) == list(range(256)) for k in range(40))
