@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SPACE, Chunks
-from .shared import text_batches
+from .shared import beside, text_batches
+
 
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
@@ -144,7 +145,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """The input with a column `ids` (array of int) of the encoded texts."""
+    """The input with a column `ids` (array of int) of the encoded texts; one that is there becomes `ids_input`."""
     from pyspark.sql.pandas.functions import arrow_udf
 
     @arrow_udf("array<int>")
@@ -152,11 +153,13 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
         c = codec(path, pattern)
         return pa.array([list(map(int, ids.split(","))) if ids else [] for ids in c.encode_all(texts.to_pylist())], pa.list_(pa.int32()))
 
+    docs = beside(docs, "ids")
     return docs.withColumn("ids", encode(F.col(text_col)))
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """The input with a column `decoded` (binary), the bytes that the ids stand for; null ids give no bytes."""
+    """The input with a column `decoded` (binary), the bytes that the ids stand for; null ids give no
+    bytes, and a column `decoded` that is there becomes `decoded_input`."""
     from pyspark.sql.pandas.functions import arrow_udf
 
     @arrow_udf("binary")
@@ -164,6 +167,7 @@ def decode_column(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids"
         c = codec(path, pattern)
         return pa.array([c.decode(",".join(map(str, x or ()))) for x in ids.to_pylist()], pa.binary())
 
+    docs = beside(docs, "decoded")
     return docs.withColumn("decoded", decode(F.col(ids_col)))
 
 

@@ -2,7 +2,8 @@
 
 A turn is a header `<|turn|>role`, a line end, its parts, and `<|end|>`. A content part is text, image, audio or
 document. The visitor writes text escaped and every other part as a placeholder `<|kind|>`, in order; it records
-which attachment the placeholder stands for and into how many tokens that one expands.
+which attachment the placeholder stands for and into how many tokens that one expands. A part of any other type is
+an attachment of the kind `unknown`, which expands into none; a part without a type is text.
 
 Control strings inside texts are broken by a backslash after their first character, and a backslash that is
 there already gets one more. So no text holds a control string once it is escaped, and unescaping gives back
@@ -61,10 +62,7 @@ class Flattener:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part {kind!r}; known: text, image, audio, document")
-        method(part)
+        {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind, self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
         self.text.append(part.get("text") or "")
@@ -84,6 +82,9 @@ class Flattener:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, int(part.get("pages") or 0)) * PAGE_TOKENS)
 
+    def visit_unknown(self, part: dict) -> None:
+        self._attach("unknown", part, 0)
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"kind": kind, "position": len(self.attachments), "ref": part.get("ref") or "", "tokens": tokens})
         self.flush()
@@ -93,7 +94,7 @@ class Flattener:
 def flatten(parts: list[dict] | None) -> tuple[str, list[dict]]:
     v = Flattener()
     for p in parts or []:
-        v.visit(p)
+        v.visit(p or {})
     v.flush()
     return "".join(v.out), v.attachments
 

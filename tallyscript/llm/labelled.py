@@ -1,7 +1,7 @@
 """Bounded samples of labelled documents, for the classifiers.
 
-The bound is a parameter of each classifier. Rows are chosen by a hash of their doc_id, so a sample is the same on
-every run, and the table of chosen ids is small enough to be sent to each task whatever the size of the corpus.
+The bound is a parameter of each classifier. Rows are chosen by a hash, so a sample is the same on every run, and rows
+that are equal in all that the hash reads count once: an id or a text that very many rows have is one row of a sample.
 """
 
 from __future__ import annotations
@@ -17,15 +17,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def hashed_share(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / float(1 << 30)
-
-
 def sampled(rows: DataFrame, bound: int, seed: int) -> DataFrame:
-    """About `bound` of the rows (all, if there are no more), by the hash of doc_id."""
+    """About `bound` of the rows (all that differ, if there are no more), by a hash of all their columns."""
     n = rows.count()
-    return rows if n <= bound else rows.where(hashed_share(F.col("doc_id"), seed) < bound / n)
+    share = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) / float(1 << 30)
+    return (rows if n <= bound else rows.where(share < bound / n)).distinct()
 
 
 def learnable(labels: DataFrame, column: str) -> DataFrame:
@@ -35,5 +31,7 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen rows (a bounded sample, so it may be broadcast) with their documents' texts."""
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """The chosen (doc_id, label), a bounded sample, so it may be broadcast, with their documents' texts; of rows that
+    repeat a doc_id the least text counts."""
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

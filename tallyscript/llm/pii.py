@@ -2,10 +2,12 @@
 
 Base kinds (leftmost, non-overlapping per kind; a match that fails its check is dropped and not retried):
 email, ip (four parts of at most 255), card (13 to 19 digits that pass Luhn), phone (+ and 9 to 15 digits).
-The method adds iban (mod-97), and ssn, which has no checksum and so needs a context word nearby.
+The method adds iban and ssn, which has no checksum and so needs a context word nearby. An iban begins with a country
+and two check digits, in either case, and may be parted by single spaces or hyphens; its country says how many
+characters belong to it, whatever follows, and mod-97 confirms them.
 
-Every span has a score: what its pattern and validator are worth by themselves, raised by a context word within
-`CONTEXT` characters before it. Base spans always stay; added ones must reach `MIN_SCORE`.
+Every span has a score: what its pattern and validator are worth by themselves, raised by a whole context word within
+`CONTEXT` characters before it. Base spans always stay; added ones must reach `MIN_SCORE`. The query returns the scores.
 
 Nulls and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows and ids give a row each.
 """
@@ -33,15 +35,28 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?=[ -]?[A-Za-z0-9])")
+_IBAN_PART = re.compile(r"[ -]?([A-Za-z0-9])")
+#: How many characters an account number of each country has.
+IBAN_LENGTHS = {
+    k: int(n)
+    for n, countries in (
+        x.split(":")
+        for x in (
+            "15:NO", "16:BE", "18:DK FI FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL",
+            "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU", "31:MT SC", "32:LC", "33:RU",
+        )
+    )
+    for k in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _MAYBE = re.compile(r"[0-9@]")
 #: What a confirmed match is worth alone, and the words that raise it.
 _SCORES = {
-    "email": (0.9, ("mail", "contact", "kontakt", "correo", "courriel")),
+    "email": (0.9, ("mail", "email", "contact", "kontakt", "correo", "courriel")),
     "ip": (0.6, ("ip", "host", "server", "address", "adresse")),
     "card": (0.8, ("card", "visa", "credit", "karte", "carte", "tarjeta")),
-    "phone": (0.7, ("phone", "tel", "call", "fax", "mobile", "anruf", "llame")),
+    "phone": (0.7, ("phone", "telephone", "tel", "call", "fax", "mobile", "anruf", "llame", "telefon", "teléfono", "téléphone")),
     "iban": (0.8, ("iban", "bank", "account", "konto", "compte", "cuenta")),
     "ssn": (0.3, ("ssn", "social", "security", "insurance")),
 }
@@ -113,7 +128,23 @@ def score(text: str, kind: str, start: int) -> float:
     """What a span of the kind at `start` is worth: more with a context word shortly before it."""
     alone, words = _SCORES[kind]
     before = set(re.findall(r"[^\W\d_]+", text[max(0, start - CONTEXT) : start].lower()))
-    return min(1.0, alone + 0.3) if any(b.startswith(w) for b in before for w in words) else alone
+    return min(1.0, alone + 0.3) if not before.isdisjoint(words) else alone
+
+
+def ibans(text: str, start: int = 0) -> list[tuple[int, int]]:
+    found, free = [], 0
+    for m in _IBAN.finditer(text, start):
+        length = IBAN_LENGTHS.get(m[0][:2].upper())
+        if m.start() < free or not length:
+            continue
+        own, at = m[0], m.end()
+        while len(own) < length and (part := _IBAN_PART.match(text, at)):
+            own += part[1]
+            at = part.end()
+        if len(own) == length and not (at < len(text) and text[at].isalnum()) and mod97(own.upper()):
+            found.append((m.start(), at))
+            free = at
+    return found
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -125,7 +156,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found += [("ip", *s) for s in ips(text, at)]
     found += [("card", *s) for s in cards(text, at)]
     found += [("phone", *s) for s in phones(text)]
-    added = [("iban", *m.span()) for m in _IBAN.finditer(text, max(0, at - 2)) if mod97(m[0].replace(" ", ""))]
+    added = [("iban", *s) for s in ibans(text, max(0, at - 2))]
     added += [("ssn", *m.span()) for m in _SSN.finditer(text, at)]
     return [(k, s, e, score(text, k, s)) for k, s, e in found] + [x for k, s, e in added if (x := (k, s, e, score(text, k, s)))[3] >= MIN_SCORE]
 
@@ -156,13 +187,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, and all spans as text, per row of docs (doc_id, text)."""
+    """Counts of the base kinds, a digest of the base spans, all spans and their scores as text, per row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
         for b in text_batches(batches):
             counts: dict[str, list[int]] = {k: [] for k in BASE}
-            digest, every = [], []
+            digest, every, worth = [], [], []
             for text in b.column(1).to_pylist():
                 found = spans(text)
                 for k, column in counts.items():
@@ -170,12 +201,13 @@ def digests(docs: DataFrame) -> DataFrame:
                 base = ",".join(f"{k}:{s}:{e}" for k, s, e, _ in found if k in BASE)
                 digest.append(hashlib.sha256(base.encode()).hexdigest() if base else none)
                 every.append(",".join(f"{k}:{s}:{e}" for k, s, e, _ in found))
+                worth.append(",".join(f"{x:.2f}" for *_, x in found))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in counts.values()), pa.array(digest), pa.array(every)],
-                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
+                [b.column(0), *(pa.array(c, pa.int64()) for c in counts.values()), *(pa.array(x, pa.string()) for x in (digest, every, worth))],
+                ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -187,5 +219,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pa.array([redacted(t, spans(t)) for t in texts.to_pylist()], pa.string())
 
     maybe = F.col(text_col).rlike("[0-9@]")
-    out = docs.withColumn("_clean", clean(F.when(maybe, F.col(text_col)))).withColumn(text_col, F.when(maybe, F.col("_clean")).otherwise(F.col(text_col))).drop("_clean")
+    out = docs.withColumn(text_col, F.when(maybe, clean(F.when(maybe, F.col(text_col)))).otherwise(F.col(text_col)))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, learnable, sampled, with_texts
-from .shared import text_batches
+from .shared import beside, text_batches
 
 POSITIVES = UNLABELLED = 8_000
 PRIOR_MARGIN = 0.97
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     n, share = train.agg(F.count("*"), F.avg("label")).first()
     if not n or not share:
         return None
-    p = _matrix(with_texts(docs, sampled(train.where("label = 1"), positives, 71).select("doc_id")))
+    p = _matrix(with_texts(docs, sampled(train.where("label = 1"), positives, 71)))
     every = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     u = _matrix(sampled(every, unlabelled, 72))
     if not len(p) or not len(u):
@@ -149,9 +149,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a column `score`."""
+    """The rows of docs with a column `score`; one that is there becomes `score_input`."""
+    docs = beside(docs, "score")
+    return docs.withColumn("score", scores(model, F.col(text_col)))
+
+
+def scores(model: Model | None, text: Column) -> Column:
+    """The score of a text."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return F.lit(0.5)
     from pyspark.sql.pandas.functions import arrow_udf
 
     @arrow_udf("double")
@@ -159,7 +165,7 @@ def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -
         x = np.array([statistics(t) for t in texts.to_pylist()]).reshape(-1, len(STATISTICS))
         return pa.array(model.scores(x))
 
-    return docs.withColumn("score", scored(F.col(text_col)))
+    return scored(text)
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

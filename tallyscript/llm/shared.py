@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new place in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where the session leaves it unset (tests on one
-    machine) a temporary one is made and set as the checkpoint folder.
+    The folder is ``spark.checkpoint.dir``. Where the session leaves it unset, a temporary one is made if the master is
+    local, as in tests; on a cluster, whose machines have temporary folders of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             path = tempfile.mkdtemp(prefix="tallyscript-")
@@ -53,9 +55,18 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def local_path(uri: str) -> str:
-    """The path of a file: URI."""
-    return urlparse(uri).path if "://" in uri or uri.startswith("file:") else uri
+def beside(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with room for new columns of these names: a column that has one of them gets `_input` behind its own name."""
+    taken = {c.lower() for c in [*df.columns, *names]}
+    out = []
+    for c in df.columns:
+        new = c
+        if c.lower() in {n.lower() for n in names}:
+            while new.lower() in taken:
+                new += "_input"
+            taken.add(new.lower())
+        out.append(new)
+    return df.toDF(*out) if out != df.columns else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

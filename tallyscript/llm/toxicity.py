@@ -8,9 +8,11 @@ Labels say only toxic or not. A toxic training row's grade is 1, 2 or 3 as it ho
 more of the *marked* words, those whose log odds of being in a toxic text are `MARKED` standard errors above zero.
 Features are the words that are `FEATURE` standard errors above it.
 
-The model is fitted on the driver from at most about `SAMPLE` labelled rows, none of the held-out fold; all documents
-are scored, whole. Null and empty texts have no features: severity is what the thresholds alone give. Without
-training rows of both kinds severity is 0 and nothing is rejected. Repeated rows and ids give a row each.
+The model is fitted on the driver from at most about `SAMPLE` labelled rows, none of the held-out fold. Their words are
+counted on the executors; the driver gets the `MOST_FEATURES` likeliest features at most, and for each row which of them
+it has. All documents are scored, whole. Null and empty texts have no features: severity is what the thresholds alone
+give. Without training rows of both kinds severity is 0 and nothing is rejected. Repeated rows and ids give a row each.
+Columns of the input that have a result's name stay, with `_input` behind it.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import learnable, sampled, with_texts
-from .shared import text_batches
+from .shared import beside, dropped, stored, text_batches
 
 SAMPLE = 16_000
 GRADES = 3
 FEATURE, MARKED = 3.0, 4.5
+MOST_FEATURES = 4096
 L2 = 1e-4
 STEPS = 400
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,6 +54,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int64()))], ["label", "words"])
 
 
+def _known(vocabulary: np.ndarray):
+    """Rows (label, words) with the numbers of those words that the sorted vocabulary has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for words_ in b.column(1).to_pylist():
+                ids = np.array(words_, np.int64)
+                at = np.searchsorted(vocabulary, ids)
+                there = at < len(vocabulary)
+                out.append(at[there][vocabulary[at[there]] == ids[there]].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["label", "features"])
+
+    return run
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -102,31 +121,27 @@ def fit_ordinal(starts: np.ndarray, columns: np.ndarray, grade: np.ndarray, widt
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """The model of labels (doc_id, toxic), or None where there is nothing to learn from."""
     chosen = sampled(learnable(labels, "toxic"), sample, 4)
-    table = with_texts(docs, chosen).select("text", "label").mapInArrow(_features, "label int, words array<long>").toArrow()
-    label = table["label"].to_numpy()
-    if not len(label) or label.min() == label.max():
+    rows = stored(with_texts(docs, chosen).select("text", "label").mapInArrow(_features, "label int, words array<long>"))
+    n1, n0 = (int(x or 0) for x in rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
+    if not n1 or not n0:
+        dropped(rows)
         return None
-    lists = table["words"].combine_chunks()
-    starts = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy()
+    counted = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    above = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = counted.select("word", above.alias("above")).where(F.col("above") >= FEATURE).orderBy(F.desc("above"), "word").limit(MOST_FEATURES).toArrow()
+    vocabulary = np.sort(best["word"].to_numpy())
+    marked = np.isin(vocabulary, best["word"].to_numpy()[best["above"].to_numpy() >= MARKED])
+    table = rows.mapInArrow(_known(vocabulary), "label int, features array<int>").toArrow()
+    dropped(rows)
+    label = table["label"].to_numpy()
+    lists = table["features"].combine_chunks()
+    starts, column = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(label)), np.diff(starts))
-    vocabulary, column = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(column, label[row], len(vocabulary))
-    clean = np.bincount(column, minlength=len(vocabulary)) - toxic
-    n1, n0 = label.sum(), len(label) - label.sum()
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    above = odds / error
-    marked = above >= MARKED
     n_marked = np.bincount(row, marked[column], len(label)).astype(int)
     grade = np.where(label == 0, 0, np.where(n_marked <= 1, 1, np.where(n_marked <= 3, 2, 3)))
-    chosen_words = np.flatnonzero(above >= FEATURE)
-    new = np.full(len(vocabulary), -1)
-    new[chosen_words] = np.arange(len(chosen_words))
-    inside = new[column] >= 0
-    counts = np.bincount(row[inside], minlength=len(label))
-    w, theta = fit_ordinal(np.concatenate(([0], np.cumsum(counts))), new[column][inside], grade, len(chosen_words))
-    return Model(dict(zip(vocabulary[chosen_words].tolist(), w.tolist(), strict=True)), tuple(theta.tolist()))
+    w, theta = fit_ordinal(starts, column, grade, len(vocabulary))
+    return Model(dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), tuple(theta.tolist()))
 
 
 def _scorer(model: Model):
@@ -148,10 +163,10 @@ def _scorer(model: Model):
     return run
 
 
-def severity(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs with severity (0 to GRADES), grade (the largest k with P(grade >= k) >= 1/2) and rejected (grade > 0)."""
+def grades(model: Model | None, text: Column) -> Column:
+    """struct<severity, grade> of a text."""
     if model is None:
-        return docs.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "rejected": F.lit(False)})
+        return F.struct(F.lit(0.0).alias("severity"), F.lit(0).alias("grade"))
     from pyspark.sql.pandas.functions import arrow_udf
 
     score = _scorer(model)
@@ -164,8 +179,15 @@ def severity(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             above = _sigmoid(z[:, None] - np.array(thresholds)[None, :])
             yield pa.StructArray.from_arrays([pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32))], ["severity", "grade"])
 
-    out = docs.withColumn("_toxicity", scored(F.col(text_col)))
-    return out.withColumns({"severity": F.col("_toxicity.severity"), "grade": F.col("_toxicity.grade"), "rejected": F.col("_toxicity.grade") > 0}).drop("_toxicity")
+    return scored(text)
+
+
+def severity(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs with severity (0 to GRADES), grade (the largest k with P(grade >= k) >= 1/2) and rejected (grade > 0)."""
+    docs = beside(docs, "severity", "grade", "rejected")
+    made = grades(model, F.col(text_col))
+    out = docs.select(F.struct(F.col("*")).alias("row"), made.alias("made"))
+    return out.select("row.*", "made.severity", "made.grade", (F.col("made.grade") > 0).alias("rejected"))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

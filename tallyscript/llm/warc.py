@@ -10,7 +10,9 @@
 * `reconstruct` joins the two back into the original records.
 
 Null html is an empty payload; a null url is an empty target. Rows that repeat the smallest page_id of a payload are
-all responses (their bytes are still stored once). An empty table gives an archive without records.
+all responses (their bytes are still stored once). A row without a page_id has the record id `<urn:page:>`, comes back
+with a null page_id, and is a revisit where a row with an id has its payload. An empty table gives an archive without
+records; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _target(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, digest: str | None = None) -> tuple[bytes, bytes]:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> tuple[bytes, bytes]:
     """(headers, content) of a record; a revisit's content is the HTTP head alone."""
     digest = digest or hashlib.sha256(payload).hexdigest()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -46,7 +48,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None,
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {_target(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -99,7 +101,7 @@ def write(pages: DataFrame) -> DataFrame:
     first = shared.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = stored(first)
     pages = pages.join(first, "digest", "left")
-    revisit = (F.octet_length(html) >= MIN_SHARED) & (F.col("page_id") != F.col("refers_to"))
+    revisit = (F.octet_length(html) >= MIN_SHARED) & F.col("refers_to").isNotNull() & ~F.equal_null(F.col("page_id"), F.col("refers_to"))
     rows = pages.select("page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("html")).alias("html"), "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"))
     return stored(rows.mapInArrow(_writer(shared_dir(spark)), "file string, records long, bytes long"))
 
@@ -222,9 +224,9 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each record as read back and reconstructed."""
     records = reconstruct(*ingest(write(pages)))
-    number = r"<urn:page:(-?\d+)>"
+    number = r"<urn:page:(-?\d*)>"
     return records.select(
-        F.regexp_extract("record_id", number, 1).cast("long").alias("page_id"),
+        F.regexp_extract("record_id", number, 1).try_cast("long").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
         "record_type",

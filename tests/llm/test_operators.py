@@ -73,33 +73,6 @@ def test_pii(spark):
     assert {r["doc_id"]: r["text"] for r in rows(clean)}[0] is None
 
 
-def brute(texts):
-    sets = [set(jaccard.shingles(t).tolist()) for _, t in texts]
-    n = len(texts)
-    link = [[i != j and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and bool(sets[j]) for j in range(n)] for i in range(n)]
-    a, b = np.nonzero(np.array(link)) if n else (np.array([], int),) * 2
-    root = local_roots(a, b, n)
-    return sorted((texts[i][0], len(sets[i]), sum(link[i]), texts[root[i]][0]) for i in range(n))
-
-
-@pytest.mark.parametrize(("region_rows", "pivots"), [(384, 16), (8, 3)])
-def test_jaccard(spark, region_rows, pivots):
-    rnd = random.Random(3)
-    words = [f"w{i}" for i in range(3000)]
-    texts = []
-    for _ in range(2):
-        base = [rnd.choice(words) for _ in range(150)]
-        for _ in range(20):
-            w = list(base)
-            for _ in range(rnd.randint(0, 3)):
-                w[rnd.randrange(len(w))] = rnd.choice(words)
-            texts.append(" ".join(w))
-    texts += [texts[0]] * 3 + ["", None, "a", "A", "a b", "x " * 20_000]
-    numbered = list(enumerate(texts))
-    out = jaccard.similar(documents(spark, numbered), region_rows=region_rows, pivots=pivots)
-    assert sorted((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in rows(out)) == brute(numbered)
-
-
 def test_jaccard_edges(spark):
     assert rows(jaccard.similar(documents(spark, []))) == []
     out = rows(jaccard.similar(documents(spark, TEXTS)))
