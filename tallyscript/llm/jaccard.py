@@ -1,27 +1,31 @@
 """N-gram Jaccard join (operator 9): exact self-join of documents by the Jaccard similarity of their word shingles.
 
-Jaccard distance is a metric on finite sets, and |A delta B| one on which it is built. The join uses both:
-
-* **Projection pivots.** Unrelated texts are all at Jaccard distance 1 of one another, so Voronoi cells of
-  sampled documents would leave nearly every document in a tie. The first pivots are therefore points of
-  projections: the shingle universe is cut by hash into m classes, and a document's projection on a class is
-  its part of the set in that class. Distances on disjoint projections add up to |A delta B|, so of any pair
-  within D = (|A| + |B|) (1 - t) / (1 + t) at least one of m = D + 1 projections has distance 0: the triangle
-  inequality's window around a pivot (the projection itself) shrinks to the pivot, and documents that meet
-  in no region cannot link. Sizes of linked sets differ at most by the factor t; size bands overlap by
-  that window (documents on a band's lower boundary are replicated into the band below).
-* **Clusters.** Regions are chained (not expanded into pairs) into clusters; no link leaves a cluster.
-* **Document pivots.** A cluster of more than ``region_rows`` distinct sets is cut into Voronoi regions of
-  sampled documents under the true Jaccard distance; documents whose distance to a pivot is within twice the
-  join radius of their nearest one are replicated there. Regions join recursively while they shrink; what does
-  not shrink (texts that are all near one another) is compared in pairs of blocks.
-* **Verification** is exact, on whole sets of 64-bit shingle hashes, in integers.
+Jaccard distance is a metric on finite sets, so pivots, Voronoi regions and the triangle inequality find all pairs
+within the radius r = 1 - threshold:
+
+* **Point location.** Unrelated texts are all at distance 1 of one another, so distances to a few sampled documents say
+  nothing about most sets: each would lie in a tie between all regions. Sets are therefore told which pivots may be
+  near by the parts of them that lie in hash classes: |A delta B| of a linked pair is at most D, so of D + 1 + j classes
+  at least j + 1 hold equal parts. A set that shares no part with another has no link and is done. Classes that hold
+  hardly anything are left out where a set has at most j of them, so unrelated texts don't meet in an empty part. Sizes
+  of linked sets differ at most by the factor t; size bands overlap by that window.
+* **Pivots.** Among the sets that share a part, the one of smallest print is a candidate. A set takes the candidate it
+  shares most parts with as its home pivot if their Jaccard distance is at most `COVER`, and else is a pivot itself.
+* **Voronoi regions.** A pivot's region holds the sets whose home it is, up to the covering radius R of the farthest.
+  Let x and y be linked and x's home be p. Then x and y share a part, so y learns of p from it, and by the triangle
+  inequality d(y, p) <= R + r: sets within that window are replicated into the region, others are not.
+* **Recursion.** A region of more than `region_rows` sets is cut into Voronoi regions of its own pivots; members whose
+  distance to one is within 2 r of that to their nearest one are replicated there. Regions join recursively while they
+  shrink; what does not shrink (texts that are all near one another) is compared in pairs of blocks of bounded size,
+  each set being sent as its difference from the region's pivot, as |A delta B| is that of the differences.
+* **Verification** is exact, on whole sets of 64-bit shingle hashes, in integers. A linked pair counts in the region of
+  the smaller of its two home pivots alone. Sets are told apart by 128-bit prints.
 
 Copies: equal sets are one class with a multiplicity, so they cost one comparison.
 
 Nulls and empty texts have an empty set, link with nothing and are their own component. Rows that repeat a
-doc_id are documents of their own and give a row each; rows without a doc_id count as copies of equal sets only.
-Further columns are ignored.
+doc_id are documents of their own and give a row each; so are rows without a doc_id, which link as any others do: the
+component_id is the smallest id that isn't null, or null if there is none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,14 @@ from .shared import components, dropped, local_roots, shuffle_partitions, stored
 _U = np.uint64
 _MULS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _VOCABULARY = 1 << 20
+#: How far a set may be from its home pivot.
+COVER = 0.5
+#: Parts of fewer shingles are light.
+LIGHT = 3
+#: How many members of a pivot a task compares with it.
+SALT_ROWS = 4096
+#: A region that keeps more than this share of the rows of the one it was cut from doesn't shrink.
+SHRINK = 0.7
 
 
 class _Words(dict):
@@ -85,31 +97,37 @@ class Bands:
     """Size bands: band k holds the set sizes from lows[k] to lows[k + 1] - 1."""
 
     def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.lows, self.classes = num, den, [1], []
+        self.num, self.den, self.lows, self.differ = num, den, [1], []
 
     def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, number of classes) for each band that a set of n shingles belongs to."""
+        """(band, by how many shingles linked sets of it may differ) for each band that a set of n shingles belongs to."""
         while self.lows[-1] <= n:
             low = self.lows[-1]
             high = max(low + 1, low * self.den * self.den // (self.num * self.num))
             most = high - 1
             both = most + most * self.den // self.num
             self.lows.append(high)
-            self.classes.append(both * (self.den - self.num) // (self.den + self.num) + 1)
+            self.differ.append(both * (self.den - self.num) // (self.den + self.num))
         k = int(np.searchsorted(self.lows, n, side="right")) - 1
-        found = [(k, self.classes[k])]
+        found = [(k, self.differ[k])]
         if k and n * self.num <= (self.lows[k] - 1) * self.den:
-            found.append((k - 1, self.classes[k - 1]))
+            found.append((k - 1, self.differ[k - 1]))
         return found
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each projection of the set s, equal for equal projections of the same class and band."""
+    """A key for each part of the set s, equal for equal parts of the same class and band."""
     keys = []
-    for band, m in bands.of(len(s)):
+    for band, differ in bands.of(len(s)):
+        spare = (differ + 1) // 8
+        m = differ + 1 + spare
         sums = np.zeros(m, _U)
-        np.add.at(sums, (s % _U(m)).astype(np.int64), _mixed(s + _MULS[1]))
-        keys.append(_mixed(sums + _MULS[2] * np.arange(m, dtype=_U) + _MULS[3] * np.array([band + 1], _U)))
+        own = (s % _U(m)).astype(np.int64)
+        np.add.at(sums, own, _mixed(s + _MULS[1]))
+        made = _mixed(sums + _MULS[2] * np.arange(m, dtype=_U) + _MULS[3] * np.array([band + 1], _U))
+        heavy = np.bincount(own, minlength=m) >= LIGHT
+        # Of spare + 1 equal parts at least one is heavy, unless both sets have more than `spare` light ones.
+        keys.append(made[heavy] if m - heavy.sum() <= spare else made)
     return np.concatenate(keys) if keys else np.empty(0, _U)
 
 
@@ -118,91 +136,162 @@ def _print(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def _scan(num: int, den: int, k: int):
+    """Rows (doc_id, rid, text) to (doc_id, rid, n, hi, lo, keys)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
+        none = np.empty(0, _U)
         for b in text_batches(batches):
-            sizes, high, low, keys, ends = [], [], [], [], [0]
-            for text in b.column(1).to_pylist():
+            sizes, high, low, keys = [], [], [], []
+            for text in b.column(2).to_pylist():
                 s = shingles(text, k)
                 sizes.append(len(s))
                 hi, lo = _print(s) if len(s) else (None, None)
                 high.append(hi)
                 low.append(lo)
-                # Copies inside a task send their projections once.
-                if len(s) and (hi, lo) not in seen:
+                # Copies inside a task send their parts once.
+                new = bool(len(s)) and (hi, lo) not in seen
+                if new:
                     if len(seen) >= _VOCABULARY:
                         seen.clear()
                     seen.add((hi, lo))
-                    keys.append(signatures(s, bands))
-                    ends.append(ends[-1] + len(keys[-1]))
-                else:
-                    ends.append(ends[-1])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "keys"])
+                keys.append(signatures(s, bands) if new else none)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(keys)], ["doc_id", "rid", "n", "hi", "lo", "keys"])
 
     return run
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, node) in order: an edge between neighbours with one key; the first and last row of the partition."""
-    from pyspark import TaskContext
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo) in order, to (lo, first, times): the smallest lo of the key, for keys of several. The keys at a
+    partition's ends may go on in the next one, so their smallest is named even if it is alone."""
+
+    def made(lo: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        pairs, times = np.unique(np.stack((lo, first)), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(times, pa.int64())], ["lo", "first", "times"])
 
-    names = ["a", "b", "part", "first_key", "first_node", "last_key", "last_node"]
-    first = last = None
+    key_now = first_now = None
     for b in batches:
         if not b.num_rows:
             continue
-        key, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        if first is None:
-            first = (int(key[0]), int(node[0]))
-        else:
-            key, node = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], node))
-        last = (int(key[-1]), int(node[-1]))
-        same = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-        if len(same):
-            a, c = node[same], node[same + 1]
-            pair = np.unique(np.stack((np.minimum(a, c), np.maximum(a, c))), axis=1)
-            none = pa.nulls(pair.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), *[none] * 5], names)
-    if first is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip(names, (None, None, TaskContext.get().partitionId(), *first, *last), strict=True))], schema=pa.schema([(x, pa.int64()) for x in names]))
-
-
-def _candidates(scan: DataFrame) -> DataFrame:
-    """Edges (a, b) between set prints that chain together all sets of each projection region.
-
-    The rows are range partitioned on (key, node), so that a region with very many sets is cut like any
-    other rows; a partition's end is tied to the next one's start by the two boundary rows a partition has.
-    """
+        key, lo = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        new = np.concatenate(([key[0] != key_now], key[1:] != key[:-1]))
+        if key_now is None:
+            yield made(lo[:1], lo[:1])
+        at = np.flatnonzero(new)
+        first = np.repeat(lo[at], np.diff(np.append(at, len(lo))))
+        if not new[0]:
+            upto = at[0] if len(at) else len(lo)
+            first = np.concatenate((np.full(upto, first_now), first))
+        key_now, first_now = key[-1], first[-1]
+        other = lo != first
+        if other.any():
+            yield made(lo[other], first[other])
+    if key_now is not None:
+        yield made(np.array([first_now]), np.array([first_now]))
+
+
+def _nominees(scan: DataFrame) -> DataFrame:
+    """(lo, m) of the sets that share a part with another one: m shares most parts with it of those that are smallest
+    for some part, or is null."""
     spark = scan.sparkSession
-    rows = scan.select(F.explode("keys").alias("key"), F.col("lo").alias("node"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "key", "node").sortWithinPartitions("key", "node")
-    whole = stored(rows.mapInArrow(_chains, "a long, b long, part long, first_key long, first_node long, last_key long, last_node long"))
-    ends = sorted(tuple(r) for r in whole.where("part is not null").select("part", "first_key", "first_node", "last_key", "last_node").collect())
-    ties = [(x[4], y[2]) for x, y in zip(ends, ends[1:], strict=False) if x[3] == y[1] and x[4] != y[2]]
-    edges = whole.where("a is not null").select("a", "b")
-    return edges.unionByName(spark.createDataFrame(ties, "a long, b long")) if ties else edges
+    rows = scan.select(F.explode("keys").alias("key"), "lo")
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "key", "lo").sortWithinPartitions("key", "lo")
+    met = rows.mapInArrow(_met, "lo long, first long, times long")
+    per = met.groupBy("lo", "first").agg(F.sum("times").alias("times"))
+    both = stored(per)
+    other = F.when(F.col("first") != F.col("lo"), F.struct((-F.col("times")).alias("less"), F.col("first")))
+    mine = both.select("lo", other.alias("m"))
+    out = stored(mine.unionByName(both.select(F.col("first").alias("lo"), F.lit(None).cast("struct<less:long,first:long>").alias("m"))).groupBy("lo").agg(F.min("m").alias("m")).select("lo", "m.first"))
+    dropped(both)
+    return out.withColumnRenamed("first", "m")
 
 
 def _sets(k: int):
-    """Rows (cluster, lo, mult, text) to (cluster, node, mult, set); rows whose text has another print are dropped."""
+    """Rows (node, hi, lo, mult, text) to (node, lo, mult, items); rows whose text has another print are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in text_batches(batches):
-            c, lo, m, keep, out = b.column(0), b.column(1).to_pylist(), b.column(2), [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
+            node, hi, lo = (b.column(i).to_pylist() for i in range(3))
+            keep, out = [], []
+            for i, text in enumerate(b.column(4).to_pylist()):
+                if node[i] in seen:
+                    continue
                 s = shingles(text, k)
-                if len(s) and _print(s)[1] == lo[i]:
+                if len(s) and _print(s) == (hi[i], lo[i]):
+                    if len(seen) >= _VOCABULARY:
+                        seen.clear()
+                    seen.add(node[i])
                     keep.append(i)
                     out.append(s.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([c.take(at), b.column(1).take(at), m.take(at), pa.array(out, pa.binary())], ["cluster", "node", "mult", "items"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in (0, 2, 3)), pa.array(out, pa.binary())], ["node", "lo", "mult", "items"])
 
     return run
 
 
+def _keys(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for b in text_batches(batches):
+            keys = [signatures(np.frombuffer(x, _U), bands) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(keys)], ["node", "keys"])
+
+    return run
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 1 - both / (len(a) + len(b) - both)
+
+
+def _within(items: bool):
+    """Rows (p, salt, x, reach, home, mult, items) in order, each pivot's own (x null) before its members: the members
+    whose distance to the pivot is within their reach, with the set or, for lack of use, without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = pivot = None
+        for b in text_batches(batches):
+            p, salt, x, reach = (b.column(i).to_pylist() for i in range(4))
+            keep, far = [], []
+            for i, data in enumerate(b.column(6).to_pylist()):
+                s = np.frombuffer(data, _U)
+                if x[i] is None:
+                    now, pivot = (p[i], salt[i]), s
+                elif now == (p[i], salt[i]):
+                    d = _far(s, pivot)
+                    if d <= reach[i] + 1e-9:
+                        keep.append(i)
+                        far.append(d)
+            at = pa.array(keep, pa.int64())
+            rest = (4, 5, 6) if items else (4, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(far, pa.float64()), *(b.column(i).take(at) for i in rest)], ["p", "node", "far", "home", "mult", "items"][: 3 + len(rest)])
+
+    return run
+
+
+def measured(pairs: DataFrame, sets: DataFrame, items: bool) -> DataFrame:
+    """pairs (p, x, reach, home) of pivots and sets, as far as their distance is within the reach: p, node, far, home,
+    mult and perhaps items. The members of a pivot are spread over as many tasks as they need."""
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    n = pairs.groupBy("p").agg(F.count("*").alias("n")).withColumn("salts", salts).drop("n")
+    own = n.join(sets.select(F.col("node").alias("p"), "items"), "p").select(
+        "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"),
+        F.lit(0.0).alias("reach"), F.lit(None).cast("long").alias("home"), F.lit(0).cast("long").alias("mult"), "items",
+    )
+    rows = pairs.join(n, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
+    rows = rows.join(sets.select(F.col("node").alias("x"), "mult", "items"), "x").select(*own.columns)
+    rows = own.unionByName(rows).repartition("p", "salt").sortWithinPartitions("p", "salt", "x")
+    return rows.mapInArrow(_within(items), "p long, node long, far double, home long, mult long" + (", items binary" if items else ""))
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of intersection sizes of sorted sets of hashes.
 
@@ -233,9 +322,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    inter = intersections(sets)
-    n = np.array([len(s) for s in sets])
+def _linked(inter: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
     link = den * inter >= num * (n[:, None] + n[None, :] - inter)
     np.fill_diagonal(link, False)
     return link
@@ -243,25 +330,39 @@ def _links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def _verify(num: int, den: int):
     """Streams rows ordered by (path, pair) and compares the sets of each group once."""
+    radius = 1 - num / den
+
+    def in_window(rows: list[dict]) -> list[dict]:
+        """Without what the triangle inequality keeps out of the region, whose pivot is one of the rows."""
+        pivot = next((np.frombuffer(r["items"], _U) for r in rows if r["node"] == r["path"][-1]), None)
+        if pivot is None or rows[0]["reach"] is None:
+            return rows
+        return [r for r in rows if _far(np.frombuffer(r["items"], _U), pivot) <= r["reach"] + radius + 1e-9]
 
     def group(rows: list[dict]) -> list[tuple[int, int, int]]:
         rows = list({r["node"]: r for r in rows}.values())
+        if len(rows) > 2:
+            rows = in_window(rows)
         if len(rows) < 2:
             return []
-        link = _links([np.frombuffer(r["items"], _U) for r in rows], num, den)
+        sets = [np.frombuffer(r["items"], _U) for r in rows]
+        inter = intersections(sets)
+        n = np.array([r["size"] for r in rows])
+        if rows[0]["reach"] is None:  # differences from the pivot
+            d = np.array([len(s) for s in sets])
+            inter = (n[:, None] + n[None, :] - (d[:, None] + d[None, :] - 2 * inter)) // 2
+        link = _linked(inter, n, num, den)
         if not link.any():
             return []
         counted = link.copy()
-        path = np.array(rows[0]["path"][1:], np.int64)
-        if len(path):
-            home = np.array([r["homes"] for r in rows], np.int64)
-            counted &= (np.minimum(home[:, None, :], home[None, :, :]) == path).all(2)
+        path = np.array(rows[0]["path"], np.int64)
+        home = np.array([r["homes"] for r in rows], np.int64)
+        counted &= (np.minimum(home[:, None, :], home[None, :, :]) == path).all(2)
         if len(set(rows[0]["pair"])) == 2:
             block = np.array([r["block"] for r in rows])
             counted &= block[:, None] != block[None, :]
         add = counted @ np.array([r["mult"] for r in rows], np.int64)
-        a, b = np.nonzero(np.triu(link))
-        root = local_roots(a, b, len(rows))
+        root = local_roots(*np.nonzero(np.triu(link)), len(rows))
         return [(r["node"], int(x), rows[t]["node"]) for r, x, t, any_ in zip(rows, add, root, link.any(1), strict=True) if any_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,111 +384,164 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["node", "added", "root"])
 
 
+_MEMBERS = "path array<long>, homes array<long>, node long, mult long, size long, items binary"
+_MEMBER_TYPES = pa.schema([("path", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64())), ("node", pa.int64()), ("mult", pa.int64()), ("size", pa.int64()), ("items", pa.binary())])
+
+
 def _assign(num: int, den: int):
-    """Cogroup of the members and pivots of a region: a row for each region into which a member goes.
+    """Cogroup of some members and the pivots of a region: a row for each region of theirs into which a member goes.
 
-    The window is the triangle inequality's: if x and y are within the radius, y is no farther from x's nearest
-    pivot than its own nearest distance and twice the radius. A little is added for rounding.
+    If x and y are within the radius, y is no farther from x's nearest pivot than from its own nearest one and twice
+    the radius more. A little is added for rounding.
     """
     radius = 1 - num / den
 
     def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
         rows = members.to_pylist()
         sets = [np.frombuffer(r["items"], _U) for r in rows]
-        ps = sorted({r["node"]: r["items"] for r in pivots.to_pylist()}.items())
+        ps = sorted({r["node"]: np.frombuffer(r["items"], _U) for r in pivots.to_pylist()}.items())
         out = []
         if rows and ps:
-            far = np.empty((len(rows), len(ps)))
-            for j, (_, items) in enumerate(ps):
-                p = np.frombuffer(items, _U)
-                for i, s in enumerate(sets):
-                    both = len(np.intersect1d(s, p, assume_unique=True))
-                    far[i, j] = 1 - both / (len(s) + len(p) - both)
+            far = np.array([[_far(s, p) for _, p in ps] for s in sets])
             nearest = far.argmin(1)
             for i, r in enumerate(rows):
                 for j in np.flatnonzero(far[i] <= far[i, nearest[i]] + 2 * radius + 1e-9):
-                    out.append({"path": [*r["path"], ps[j][0]], "homes": [*r["homes"], ps[nearest[i]][0]], "node": r["node"], "mult": r["mult"], "items": r["items"]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("path", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64())), ("node", pa.int64()), ("mult", pa.int64()), ("items", pa.binary())]))
+                    out.append(r | {"path": [*r["path"], ps[j][0]], "homes": [*r["homes"], ps[nearest[i]][0]]})
+        return pa.Table.from_pylist(out, schema=_MEMBER_TYPES)
 
     return run
 
 
-def similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, num: int = 90, den: int = 100, region_rows: int = 384, pivots: int = 16
-) -> DataFrame:
-    """For each document: n_shingles, n_similar (other documents linked directly, copies included) and
-    component_id (the smallest id reachable by links, itself included). Two documents link when
-    den * intersection >= num * union. `region_rows` bounds what a task compares at once."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scan = stored(docs.mapInArrow(_scan(num, den, k), "doc_id long, n long, hi long, lo long, keys array<long>"))
-    cluster = components(_candidates(scan))
-    cluster = stored(cluster.select(F.col("node").alias("lo"), F.col("component").alias("cluster")))
-    classes = scan.where("n > 0").groupBy("lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    classes = stored(classes.join(cluster, "lo", "left"))
-    chosen = classes.where("cluster is not null")
-    texts = docs.join(chosen.withColumnRenamed("rep", "doc_id"), "doc_id").select("cluster", "lo", "mult", "text")
-    sets = stored(texts.mapInArrow(_sets(k), "cluster long, node long, mult long, items binary"))
-    sets = sets.select(F.array("cluster").alias("path"), F.array().cast("array<long>").alias("homes"), "node", "mult", "items")
-
-    ready = []
+def _differences(members: pa.Table, pivot: pa.Table) -> pa.Table:
+    """Some members of a region, each set as its difference from the pivot's."""
+    p = np.frombuffer(pivot["items"][0].as_py(), _U)
+    items = [np.setxor1d(np.frombuffer(x, _U), p, assume_unique=True).tobytes() for x in members["items"].to_pylist()]
+    return members.drop_columns(["items", "salt"]).append_column("items", pa.array(items, pa.binary())).select(["path", "homes", "node", "mult", "size", "n", "items"]).cast(_DIFFERENCES)
+
+
+_DIFFERENCES = pa.schema([*_MEMBER_TYPES][:5] + [("n", pa.int32()), ("items", pa.binary())])
+_GROUP = ("path", "pair", "block", "homes", "node", "mult", "size", "reach", "items")
+
+
+def _recursion(sets: DataFrame, num: int, den: int, region_rows: int, pivots: int) -> list[DataFrame]:
+    """Regions (path, homes, node, mult, size, items) of any size, as groups that can each be compared at once."""
+    one = F.array(F.lit(0), F.lit(0))
+    plain = lambda df: df.select("path", one.alias("pair"), F.lit(0).alias("block"), "homes", "node", "mult", "size", F.lit(2.0).alias("reach"), "items")
+    ready: list[DataFrame] = []
     parent = None
     while True:
         counts = sets.groupBy("path").agg(F.count("*").alias("rows"))
         big = stored(counts.where(F.col("rows") > region_rows))
         if not big.head(1):
-            ready.append(sets.select("path", F.array(F.lit(0), F.lit(0)).alias("pair"), F.lit(0).alias("block"), "homes", "node", "mult", "items"))
-            break
-        ready.append(sets.join(big, "path", "left_anti").select("path", F.array(F.lit(0), F.lit(0)).alias("pair"), F.lit(0).alias("block"), "homes", "node", "mult", "items"))
+            return [*ready, plain(sets)]
+        ready.append(plain(sets.join(big, "path", "left_anti")))
         rest = sets.join(big, "path")
+        last = F.element_at("path", -1)
         if parent is not None:  # regions that hardly shrank are compared in blocks
             up = parent.select(F.col("path").alias("above"), F.col("rows").alias("before"))
             rest = rest.withColumn("above", F.expr("slice(path, 1, size(path) - 1)")).join(up, "above").drop("above")
-            still = F.col("rows") > 0.7 * F.col("before")
-            stuck, rest = rest.where(still), rest.where(~still).drop("before")
+            still = F.col("rows") > SHRINK * F.col("before")
             n = F.ceil(F.col("rows") / (region_rows // 2)).cast("int")
-            stuck = stuck.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-            other = F.explode(F.expr("sequence(0, n - 1)"))
-            ready.append(
-                stuck.withColumn("other", other)
-                .select("path", F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "block", "homes", "node", "mult", "items")
-            )
-            rest = stored(rest)
+            stuck = rest.where(still).withColumn("n", n).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+            center = stuck.where(F.col("node") == last).withColumn("salt", F.explode(F.expr("sequence(0, n - 1)"))).select("path", "salt", "items")
+            near = stuck.select("path", "homes", "node", "mult", "size", "n", "salt", "items").groupBy("path", "salt").cogroup(stored(center).groupBy("path", "salt"))
+            near = stored(near.applyInArrow(_differences, "path array<long>, homes array<long>, node long, mult long, size long, n int, items binary"))
+            near = near.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+            pair = F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair")
+            ready.append(near.select("path", pair, "block", "homes", "node", "mult", "size", F.lit(None).cast("double").alias("reach"), "items"))
+            rest = stored(rest.where(~still).drop("before"))
             if not rest.head(1):
-                break
+                return ready
         share = F.pmod(F.xxhash64("node", F.size("path")), F.lit(1 << 30)) / float(1 << 30)
-        last = F.element_at("path", -1)
         salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / region_rows)).cast("int")
-        chosen_pivots = rest.where((share * F.col("rows") < pivots) | (F.col("node") == last))
         left = rest.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("rows")
-        right = stored(chosen_pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "node", "items"))
+        right = stored(rest.where((share * F.col("rows") < pivots) | (F.col("node") == last)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "node", "items"))
         parent = big
-        sets = stored(
-            left.groupBy("path", "salt").cogroup(right.groupBy("path", "salt")).applyInArrow(_assign(num, den), "path array<long>, homes array<long>, node long, mult long, items binary")
-        )
-    every = ready[0]
-    for r in ready[1:]:
-        every = every.unionByName(r)
+        sets = stored(left.groupBy("path", "salt").cogroup(right.groupBy("path", "salt")).applyInArrow(_assign(num, den), _MEMBERS))
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, rid, text): what the scan says of each row, and of each set hi, lo, n_similar and component."""
+    radius = 1 - num / den
+    scan = stored(docs.mapInArrow(_scan(num, den, k), "doc_id long, rid long, n long, hi long, lo long, keys array<long>"))
+    classes = scan.where("n > 0").groupBy("hi", "lo").agg(F.min("rid").alias("rid"), F.count("*").alias("mult"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    nominees = _nominees(scan)
+    chosen = classes.join(nominees.select("lo"), "lo", "left_semi").select("rid", "node", "hi", "lo", "mult")
+    texts = docs.select("rid", "text").join(chosen, "rid").select("node", "hi", "lo", "mult", "text")
+    sets = texts.mapInArrow(_sets(k), "node long, lo long, mult long, items binary")
+    sets = stored(sets.groupBy("node", "lo", "mult").agg(F.first("items").alias("items")))
+
+    # Each set's home pivot.
+    ids = sets.select("node", "lo")
+    asked = nominees.where("m is not null").join(ids.withColumnRenamed("node", "x"), "lo").select("x", F.col("m").alias("lo")).join(ids.withColumnRenamed("node", "p"), "lo").where("x <> p")
+    asked = stored(asked.select("p", "x", F.lit(COVER).alias("reach"), F.col("p").alias("home")))
+    found = measured(asked, sets, False).groupBy("node").agg(F.min(F.struct("far", "p")).alias("best"))
+    homes = ids.select("node").join(found, "node", "left")
+    homes = stored(homes.select("node", F.coalesce("best.p", "node").alias("home"), F.coalesce("best.far", F.lit(0.0)).alias("far")))
+    reach = homes.groupBy("home").agg(F.max("far").alias("reach"))
+
+    # Which regions a set may belong to: the homes of all sets that it shares a part with.
+    parts = stored(sets.select("node", "items").mapInArrow(_keys(num, den), "node long, keys array<long>").select("node", F.explode("keys").alias("key")).join(homes.select("node", "home"), "node"))
+    there = parts.select("key", "home").distinct()
+    visits = parts.select("key", "node").join(there, "key").select("node", "home").distinct()
+    counts = stored(visits.groupBy("home").agg(F.count("*").alias("rows")).where("rows > 1"))
+    visits = stored(visits.join(counts, "home").join(reach, "home").join(homes.select("node", F.col("home").alias("own")), "node"))
+    dropped(parts)
+    size = (F.octet_length("items") / 8).cast("long").alias("size")
+    small = visits.where(F.col("rows") <= region_rows).join(sets, "node").select(
+        F.array("home").alias("path"), F.array(F.lit(0), F.lit(0)).alias("pair"), F.lit(0).alias("block"), F.array("own").alias("homes"), "node", "mult", size, "reach", "items"
+    )
+    large = visits.where(F.col("rows") > region_rows)
+    every = small
+    if large.head(1):
+        near = measured(large.select(F.col("home").alias("p"), F.col("node").alias("x"), (F.col("reach") + radius).alias("reach"), F.col("own").alias("home")), sets, True)
+        near = stored(near.select(F.array("p").alias("path"), F.array("home").alias("homes"), "node", "mult", size, "items"))
+        for r in _recursion(near, num, den, region_rows, pivots):
+            every = every.unionByName(r)
     every = every.repartition("path", "pair").sortWithinPartitions("path", "pair")
-    found = stored(every.mapInArrow(_verify(num, den), "node long, added long, root long"))
-    linked = found.groupBy("node").agg(F.sum("added").alias("added")).withColumnRenamed("node", "lo")
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("lo"), "component")
-    known = classes.join(linked, "lo", "left").join(groups, "lo", "left").select("lo", "rep", "mult", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("component", "lo").alias("component"))
-    first = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(first, "component").select("lo", "component_id", (F.col("mult") - 1 + F.col("added")).alias("n_similar"))
-    return scan.select("doc_id", F.col("n").alias("n_shingles"), "lo").join(known, "lo", "left").select(
-        "doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    links = stored(every.mapInArrow(_verify(num, den), "node long, added long, root long"))
+    added = links.groupBy("node").agg(F.sum("added").alias("added"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = classes.join(added, "node", "left").join(groups, "node", "left")
+    known = known.select("hi", "lo", (F.col("mult") - 1 + F.coalesce("added", F.lit(0))).alias("n_similar"), F.coalesce("component", "node").alias("component"))
+    return scan.drop("keys"), stored(known)
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the smallest id; all columns stay, and so do rows without an id.
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a number of the row, which depends on these two alone."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
 
-    Rows that repeat both id and text are one document; only ids that repeat are shuffled with their texts.
-    """
-    near = stored(similar(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.join(near, "doc_id", "left_anti")
-    if not repeated.head(1):
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, num: int = 90, den: int = 100, region_rows: int = 384, pivots: int = 16
+) -> DataFrame:
+    """For each document: n_shingles, n_similar (other documents linked directly, copies included) and
+    component_id (the smallest id reachable by links, itself included). Two documents link when
+    den * intersection >= num * union. `region_rows` bounds what a task compares at once."""
+    scan, known = _joined(_numbered(docs, id_col, text_col), k, num, den, region_rows, pivots)
+    rows = scan.join(known, ["hi", "lo"], "left")
+    first = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(first, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), own)
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, num: int = 90, den: int = 100, region_rows: int = 384, pivots: int = 16) -> DataFrame:
+    """One document of each component, that with the smallest id (a null one, if there is no other); all columns stay,
+    and so do all rows without words, which have no component."""
+    rid = "rid"
+    while rid.lower() in {c.lower() for c in docs.columns}:
+        rid += "_"
+    scan, known = _joined(_numbered(docs, id_col, text_col), k, num, den, region_rows, pivots)
+    rows = scan.join(known, ["hi", "lo"]).select("component", "doc_id", "rid")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    best = rows.join(least, "component").where(F.equal_null(F.col("doc_id"), F.col("least"))).groupBy("component").agg(F.min("rid").alias("kept"))
+    fate = rows.groupBy("component", "rid").agg(F.count("*").alias("n")).join(best, "component").where("rid <> kept or n > 1")
+    fate = stored(fate.select(F.col("rid").alias(rid), (F.col("rid") == F.col("kept")).alias("again")))
+    marked = docs.withColumn(rid, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    kept = marked.join(fate.select(rid), rid, "left_anti").select(*docs.columns)
+    again = fate.where("again").select(rid)
+    if not again.head(1):
+        return kept
+    return kept.unionByName(marked.join(again, rid, "left_semi").dropDuplicates([rid]).select(*docs.columns))
