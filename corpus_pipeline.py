@@ -19,13 +19,13 @@ from tallyscript.llm.tables import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose likeliest grade is above 0."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.severity(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return docs.where(toxicity.grades(model, F.col("text"))["grade"] == 0)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose quality score is below `quality.KEEP`."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_column(docs, model).where(F.col("score") >= quality.KEEP).select(*docs.columns)
+    return docs.where(quality.scores(model, F.col("text")) >= quality.KEEP)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by placeholders and n_chars as the texts are then."""
-    return pii.redact(docs).select(*docs.columns)
+    return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
