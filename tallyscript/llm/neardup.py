@@ -1,17 +1,20 @@
-"""Embedding near-duplicates (operator 8): sorted projection passes, then exact links inside what they tie together.
+"""Embedding near-duplicates (operator 8): sorted projection passes, verified in windows, united across passes.
 
 * Equal vectors with equal labels are one class with a multiplicity, so copies cost one comparison.
 * A class has a print of 256 random-hyperplane bits. Each pass orders the classes of a label lexicographically by
   the print, read from another place on, so the hashes that count first are new ones; after `PASSES` passes, all bits
   are shuffled. A label of more classes has more passes (`passes_for`), so that a pair's chance to be missed stays.
-  Each class is held against its `WINDOW` predecessors by the Hamming distance of the prints; prints that are near
-  (a pair at the threshold lies nearly five standard deviations inside the bound) tie two classes together.
-  Only a forest of these ties leaves a task, at most one per class and pass, whatever the size of a group.
-* The union of the ties over all passes gives clusters. Inside a cluster all pairs are verified by their cosine in
-  double precision, in blocks of bounded size, so a link that the windows missed is found as well.
+* Rows carry their vectors. Each class is held against its `WINDOW` predecessors: where the Hamming distance of the
+  prints allows for a link (a pair at the threshold lies nearly five standard deviations inside the bound), the cosine
+  is computed in double precision. A window doubles, up to `WIDEST` times `WINDOW`, while at least the share `DENSE` of
+  its last half are links, so the work follows the number of links in groups that are larger than the window.
+* Pairs on both sides of a partition's border are compared by a second, small job over the `WINDOW` rows at its ends.
+* The verified pairs of all passes, each once, give the links; their connected components are the groups. A pair that
+  no pass brings into a window is missed (recall is measured in the tests); none is reported that isn't a link.
 
 Vectors that are null, zero or hold null or non-finite components, or that have no label, link with nothing. Rows
-that repeat a vec_id are vectors of their own and give a row each. Vectors of different lengths never link.
+that repeat a vec_id, or have none, are vectors of their own and give a row each; the component_id is the smallest id
+that isn't null. Vectors of different lengths never link, and may be mixed. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, local_roots, shuffle_partitions, stored
-from .vectors import matrix
+from .shared import components, dropped, shuffle_partitions, stored
+from .vectors import matrices, stacked
 
 BITS = 256
 PASSES = 12
 WINDOW = 64
+WIDEST = 16
+DENSE = 0.25
 #: The share of pairs at the threshold that the passes may miss, were their orders independent.
 MISS = 0.001
-BLOCK = 1024
+_SEEN = 1 << 18
 
 
 def bound(threshold: float) -> int:
@@ -41,17 +46,18 @@ def bound(threshold: float) -> int:
     return int(np.ceil(BITS * p + 4.9 * np.sqrt(BITS * p * (1 - p))))
 
 
-def passes_for(classes: int, threshold: float, least: int, window: int) -> int:
+def passes_for(classes: Column, threshold: float, least: int, window: int) -> Column:
     """How many passes a label of so many classes needs for its pairs at the threshold.
 
     A bit agrees for such a pair with the chance 1 - angle / pi. The pair comes within the window about when it agrees
     in as many first bits as leave `window` classes together, so a pass misses it with the chance 1 - agree ** bits.
     """
     agree = 1 - float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
-    if classes <= window + 1 or not 0 < agree < 1:
-        return least
-    found = agree ** float(np.log2(classes / window))
-    return least if found >= 1 else max(least, int(np.ceil(np.log(MISS) / np.log1p(-found))))
+    if not 0 < agree < 1:
+        return F.lit(least)
+    found = F.pow(F.lit(agree), F.log2(classes / F.lit(float(window))))
+    needed = F.ceil(F.lit(float(np.log(MISS))) / F.log1p(-found)).cast("int")
+    return F.when(classes <= window + 1, F.lit(least)).otherwise(F.greatest(F.lit(least), needed))
 
 
 def bit_order(k: int, passes: int) -> np.ndarray:
@@ -66,200 +72,200 @@ def planes(width: int) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, vector) to those of usable rows with (key, bits): a 64-bit hash of label and vector, and the print."""
+    """(vec_id, label, vector) with hi and lo, the 128-bit hash of label and vector, and the width, print and vector of
+    those that the task meets for the first time; all null for unusable rows."""
     known: dict[int, np.ndarray] = {}
+    seen: set[tuple[int, int]] = set()
     for b in batches:
-        rows, v = matrix(b.column(2))
-        if len(rows):
+        n = b.num_rows
+        hi, lo, width, bits, vector = ([None] * n for _ in range(5))
+        labels = b.column(1).to_pylist()
+        for rows, v in matrices(b.column(2)):
             p = known.setdefault(v.shape[1], planes(v.shape[1]))
-            bits = np.packbits(v @ p > 0, axis=1)
-            label = b.column(1).take(pa.array(rows))
-            key = [xxhash.xxh3_64_intdigest(x.tobytes() + repr(y).encode()) - (1 << 63) for x, y in zip(v + 0.0, label.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), label, pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(key, pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())],
-                ["vec_id", "label", "vector", "key", "bits"],
-            )
-
-
-def _turned(passes: int, more: dict):
-    """A row per pass of the label (`passes`, or what `more` has for its hash): the print in that pass's order of bits."""
+            prints = np.packbits(v @ p > 0, axis=1)
+            for i, x, own in zip(rows.tolist(), v + 0.0, prints, strict=True):
+                if labels[i] is None:
+                    continue
+                data = x.tobytes()
+                d = xxhash.xxh3_128_digest(data + labels[i].encode("utf-8", "surrogatepass"))
+                key = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+                hi[i], lo[i], width[i] = *key, v.shape[1]
+                if key not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    bits[i], vector[i] = own.tobytes(), data
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (hi, lo, width)), pa.array(bits, pa.binary()), pa.array(vector, pa.binary())],
+            ["vec_id", "label", "hi", "lo", "width", "bits", "vector"],
+        )
+
+
+_ROW = ["pass", "label", "width", "turned", "node", "vector"]
+
+
+def _turned(least: int):
+    """A row per class and pass: the print in that pass's order of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [bit_order(k, passes) for k in range(max([passes, *more.values()]))]
+        orders: list[np.ndarray] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            wanted = np.array([more.get(x, passes) for x in b.column(3).to_pylist()]) if more else np.full(b.num_rows, passes)
-            for k, order in enumerate(orders):
-                rows = np.flatnonzero(wanted > k)
-                if not len(rows):
-                    break
-                turned = np.packbits(bits[rows][:, order], axis=1)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), k, np.int32)), b.column(0).take(at), pa.array([x.tobytes() for x in turned], pa.binary()), b.column(1).take(at)],
-                    ["pass", "label", "turned", "key"],
-                )
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                label, width, bits, node, vector = (part.column(i) for i in range(5))
+                wanted = part.column(5).to_numpy(zero_copy_only=False)
+                bits = np.unpackbits(np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(wanted), -1), axis=1)
+                orders += [bit_order(k, least) for k in range(len(orders), wanted.max())]
+                for k in range(wanted.max()):
+                    rows = np.flatnonzero(wanted > k)
+                    turned = np.packbits(bits[rows][:, orders[k]], axis=1)
+                    i = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), label.take(i), width.take(i), pa.array([x.tobytes() for x in turned], pa.binary()), node.take(i), vector.take(i)], _ROW)
 
     return run
 
 
-def _window(window: int, most: int):
-    """Rows (pass, label, turned, key) in order, as forests of ties (a, b); then (null, null, part, rows of both ends)."""
+class Rows:
+    """Neighbouring rows of a pass's order."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        self.group = np.array([0, *np.cumsum([x[:3] != y[:3] for x, y in zip(rows, rows[1:])])])
+        self.words = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        self.node = np.array([r[4] for r in rows], np.int64)
+        self.v = stacked([r[5] for r in rows])
+        self.square = (self.v * self.v).sum(1)
+
+    def links(self, start: int, window: int, widest: int, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The links between each row from `start` on and those before it, within its window."""
+        a, b = [self.node[:0]], [self.node[:0]]
+        active = np.arange(start, len(self.rows))
+        low, high = 1, window
+        while len(active) and low <= widest:
+            hits = np.zeros(len(self.rows), np.int32)
+            going = active
+            for off in range(low, high + 1):
+                going = going[going >= off]
+                going = going[self.group[going] == self.group[going - off]]
+                if not len(going):
+                    break
+                x = going[np.bitwise_count(self.words[going] ^ self.words[going - off]).sum(1) <= most]
+                if len(x):
+                    cosine = np.einsum("ij,ij->i", self.v[x], self.v[x - off]) / np.sqrt(self.square[x] * self.square[x - off])
+                    x = x[(cosine >= threshold) & (self.node[x] != self.node[x - off])]
+                    a.append(self.node[x])
+                    b.append(self.node[x - off])
+                    hits[x] += 1
+            active = active[hits[active] >= DENSE * (high + 1 - low)]
+            low, high = high + 1, min(2 * high, widest)
+        x, y = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+        return pair[0], pair[1]
 
-    def ties(label: list, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        same = np.array([0, *np.cumsum([x != y for x, y in zip(label, label[1:])])])
-        a, b = [], []
-        for off in range(1, min(window, len(key) - 1) + 1):
-            near = (np.bitwise_count(words[off:] ^ words[:-off]).sum(1) <= most) & (same[off:] == same[:-off])
-            at = np.flatnonzero(near)
-            a.append(at)
-            b.append(at + off)
-        if not a:
-            return key[:0], key[:0]
-        root = local_roots(np.concatenate(a), np.concatenate(b), len(key))
-        at = np.flatnonzero(root != np.arange(len(key)))
-        return key[at], key[root[at]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+_OUT = pa.schema(
+    [("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("place", pa.int64()), ("pass", pa.int32()), ("label", pa.string()), ("width", pa.int64()), ("turned", pa.binary()), ("node", pa.int64()), ("vector", pa.binary())]
+)
+_OUT_DDL = "a long, b long, border long, place long, pass int, label string, width long, turned binary, node long, vector binary"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(_OUT)[2:])], schema=_OUT)
 
-        names = ["a", "b", "part", "place", "head", "tag", "bits", "key"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.int64()]
 
-        def rows_of(rows: list[tuple], head: bool, first: int) -> pa.RecordBatch:
-            part = TaskContext.get().partitionId()
-            full = [(None, None, part, first + i, head, f"{p}:{x!r}", t, k) for i, (p, x, t, k) in enumerate(rows)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t) for i, t in enumerate(types)], names)
+def _windows(window: int, widest: int, most: int, threshold: float):
+    """Rows in order to their links (a, b), and the rows at both ends with the number of the border they lie at; their
+    places count from it, those before it being negative."""
 
+    def ends(rows: list[tuple], border: int, first: int) -> pa.RecordBatch:
+        full = [(None, None, border, first + i, *r) for i, r in enumerate(rows)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         kept: list[tuple] = []
         seen = 0
         for b in batches:
-            for at in range(0, b.num_rows, 8192):
-                new = list(zip(*(c.to_pylist() for c in b.slice(at, 8192).columns), strict=True))
+            for at in range(0, b.num_rows, 4096):
+                new = list(zip(*(c.to_pylist() for c in b.slice(at, 4096).columns), strict=True))
                 if seen < window:
-                    yield rows_of(new[: window - seen], True, seen)
+                    yield ends(new[: window - seen], part - 1, seen)
                 seen += len(new)
-                rows = kept + new
-                words = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
-                x, y = ties([(r[0], r[1]) for r in rows], words, np.array([r[3] for r in rows], np.int64))
-                none = [pa.nulls(len(x), t) for t in types[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *none], names)
-                kept = rows[-window:]
+                rows = Rows(kept + new)
+                yield _pairs(*rows.links(len(kept), window, widest, most, threshold))
+                kept = rows.rows[-widest:]
         if kept:
-            yield rows_of(kept, False, seen - len(kept))
+            last = kept[-window:]
+            yield ends(last, part, -len(last))
 
     return run
 
 
-def _across(window: int, most: int):
-    """The ends of all partitions, in order, hold the pairs that lie on both sides of a border."""
-
-    def run(rows: list) -> list[tuple[int, int]]:
-        found = []
-        order = sorted({(r["part"], r["place"]): r for r in rows}.values(), key=lambda r: (r["part"], r["place"]))
-        words = [np.frombuffer(r["bits"], np.uint64) for r in order]
-        for i, r in enumerate(order):
-            for j in range(max(0, i - window), i):
-                s = order[j]
-                if s["part"] != r["part"] and s["tag"] == r["tag"] and int(np.bitwise_count(words[i] ^ words[j]).sum()) <= most:
-                    found.append((r["key"], s["key"]))
-        return found
-
-    return run
+def _borders(window: int, most: int, threshold: float):
+    """The ends of partitions ordered by border and place: the links within a window that lie on both sides."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-def _ties(classes: DataFrame, passes: int, window: int, most: int, threshold: float) -> DataFrame:
-    spark = classes.sparkSession
-    # Only labels that need more passes than the least come to the driver: each has thousands of classes at the defaults.
-    few = next(n for n in (window * 2**i for i in range(64)) if passes_for(2 * n, threshold, passes, window) > passes or n >= 2**62)
-    many = classes.groupBy("label").count().where(F.col("count") > few).select(F.xxhash64("label").alias("hash"), "count").collect()
-    more = {r["hash"]: passes_for(r["count"], threshold, passes, window) for r in many}
-    label = dict(classes.dtypes)["label"]
-    turned = classes.select("label", "key", "bits", F.xxhash64("label").alias("hash")).mapInArrow(_turned(passes, more), f"pass int, label {label}, turned binary, key long")
-    ordered = turned.repartitionByRange(shuffle_partitions(spark), "pass", "label", "turned", "key").sortWithinPartitions("pass", "label", "turned", "key")
-    schema = "a long, b long, part long, place long, head boolean, tag string, bits binary, key long"
-    whole = stored(ordered.mapInArrow(_window(window, most), schema))
-    # At most 2 * window rows of a partition, of 60 bytes or so each; partitions follow spark.sql.shuffle.partitions.
-    ends = whole.where("part is not null").collect()
-    over = _across(window, most)(ends)
-    ties = whole.where("a is not null").select("a", "b")
-    return ties.unionByName(spark.createDataFrame(over, "a long, b long")) if over else ties
-
-
-def _verify(threshold: float):
-    """Rows ordered by (cluster, x, y): the links of each group, as (key, links counted, root)."""
-
-    def group(rows: list[dict]) -> list[tuple[int, int, int]]:
-        rows = list({r["key"]: r for r in rows}.values())
-        out = []
-        by: dict[int, list[dict]] = {}
-        for r in rows:
-            by.setdefault(len(r["vector"]), []).append(r)
-        for same in by.values():
-            if len(same) < 2:
-                continue
-            v = np.array([r["vector"] for r in same])
-            size = np.sqrt((v * v).sum(1))
-            link = (v @ v.T) / (size[:, None] * size[None, :]) >= threshold
-            np.fill_diagonal(link, False)
-            if not link.any():
-                continue
-            x, y = same[0]["x"], same[0]["y"]
-            block = np.array([r["block"] for r in same])
-            counted = link & (block[:, None] != block[None, :]) if x != y else link
-            add = counted @ np.array([r["mult"] for r in same], np.int64)
-            root = local_roots(*np.nonzero(np.triu(link)), len(same))
-            out += [(r["key"], int(n), same[t]["key"]) for r, n, t, any_ in zip(same, add, root, link.any(1), strict=True) if any_]
-        return out
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["key", "added", "root"])
+        def found() -> pa.RecordBatch:
+            after = next((i for i, r in enumerate(held) if r[1] >= 0), len(held))
+            none = np.empty(0, np.int64)
+            a, b = Rows([r[2:] for r in held]).links(after, window, window, most, threshold) if 0 < after < len(held) else (none, none)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if held and (held[0]["cluster"], held[0]["x"], held[0]["y"]) != (r["cluster"], r["x"], r["y"]):
-                    out += group(held)
-                    held = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    yield found()
+                    held.clear()
                 held.append(r)
-            yield made(out)
-        yield made(group(held) if held else [])
+        if held:
+            yield found()
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def _links(classes: DataFrame, passes: int, window: int, widest: int, threshold: float, parts: int | None) -> DataFrame:
+    """(a, b), a < b, of all links found between classes, each once; stored."""
+    spark = classes.sparkSession
+    wanted = classes.groupBy("label").count().select("label", passes_for(F.col("count"), threshold, passes, window).alias("passes"))
+    rows = classes.join(wanted, "label").select("label", "width", "bits", "node", "vector", "passes")
+    turned = rows.mapInArrow(_turned(passes), "pass int, label string, width long, turned binary, node long, vector binary")
+    # Partitions are longer than a window, so that a window spans one border at most.
+    parts = parts or max(1, min(shuffle_partitions(spark), passes * classes.count() // (16 * window)))
+    order = ("pass", "label", "width", "turned", "node")
+    ordered = turned.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    whole = stored(ordered.mapInArrow(_windows(window, widest, bound(threshold), threshold), _OUT_DDL))
+    inside = whole.where("a is not null").select("a", "b")
+    ends = whole.where("border is not null").select("border", "place", *_ROW)
+    over = ends.repartition("border").sortWithinPartitions("border", "place").mapInArrow(_borders(window, bound(threshold), threshold), "a long, b long")
+    out = stored(inside.unionByName(over).distinct())
+    dropped(whole)
+    return out
+
+
+def near_duplicates(
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, widest: int | None = None, parts: int | None = None
+) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id (the smallest id reachable) and kept.
 
-    `passes` is the least number of passes; labels with many classes have more."""
-    columns = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    label = dict(columns.dtypes)["label"]
-    usable = columns.where("label is not null").mapInArrow(_prints, f"vec_id long, label {label}, vector array<double>, key long, bits binary")
-    prints = stored(usable)
-    sizes = prints.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("bits").alias("bits"), F.min("label").alias("label"))
-    classes = stored(sizes)
-    clusters = components(_ties(classes, passes, window, bound(threshold), threshold))
-    clusters = stored(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")))
-    members = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("n"))
-    inside = classes.select("key", "rep", "mult").join(clusters, "key").join(members, "cluster")
-    rows = inside.join(prints.select("key", F.col("vec_id").alias("rep"), "vector"), ["key", "rep"]).dropDuplicates(["key"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
-    other = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = rows.withColumn("other", F.explode(other)).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "mult", "vector")
-    rows = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    found = stored(rows.mapInArrow(_verify(threshold), "key long, added long, root long"))
-    linked = found.groupBy("key").agg(F.sum("added").alias("added"))
-    groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "component")
-    known = classes.join(linked, "key", "left").join(groups, "key", "left").select("key", "rep", "mult", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("component", "key").alias("component"))
-    first = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(first, "component").select("key", "component_id", (F.col("mult") - 1 + F.col("added")).alias("n_links"))
-    whole = prints.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
-    # Rows without a usable vector or label: what isn't in the prints, as counts of ids, since ids may repeat.
-    there = prints.groupBy("vec_id").agg(F.count("*").alias("n"))
-    rest = columns.groupBy("vec_id").agg(F.count("*").alias("rows")).join(there, F.equal_null(columns["vec_id"], there["vec_id"]), "left").select(columns["vec_id"], (F.col("rows") - F.coalesce("n", F.lit(0))).alias("times"))
-    alone = rest.where("times > 0").select("vec_id", F.explode(F.expr("sequence(1L, times)"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return whole.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    `passes` is the least number of passes; labels with many classes have more. Labels are compared as strings. `parts`
+    is the number of partitions of the sorted rows, by default as many as the session's shuffles have."""
+    columns = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    prints = stored(columns.mapInArrow(_prints, "vec_id long, label string, hi long, lo long, width long, bits binary, vector binary"))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    classes = prints.where("hi is not null").groupBy("hi", "lo").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), first("label"), first("width"), first("bits"), first("vector"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    links = _links(classes, passes, window, widest or WIDEST * window, threshold, parts)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    added = both.join(classes.select(F.col("node").alias("b"), "mult"), "b").groupBy("a").agg(F.sum("mult").alias("added")).withColumnRenamed("a", "node")
+    groups = components(links).select("node", "component")
+    known = classes.select("hi", "lo", "node", "rep", "mult").join(added, "node", "left").join(groups, "node", "left")
+    known = known.select("hi", "lo", "rep", (F.col("mult") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(least, "component").select("hi", "lo", "n_links", "component_id")
+    out = prints.select("vec_id", "hi", "lo").join(known, ["hi", "lo"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.equal_null(F.col("vec_id"), component).alias("kept"))
