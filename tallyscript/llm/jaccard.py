@@ -9,15 +9,17 @@ within the radius r = 1 - threshold:
   at least j + 1 hold equal parts. A set that shares no part with another has no link and is done. Classes that hold
   hardly anything are left out where a set has at most j of them, so unrelated texts don't meet in an empty part. Sizes
   of linked sets differ at most by the factor t; size bands overlap by that window.
-* **Pivots.** Among the sets that share a part, the one of smallest print is a candidate. A set takes the candidate it
-  shares most parts with as its home pivot if their Jaccard distance is at most `COVER`, and else is a pivot itself.
+* **Pivots.** Among the sets that share a part, the one of smallest print is a candidate. A set asks the candidate it
+  shares most parts with, and the one that this leads to in a few steps of the same kind, so that a family has few
+  pivots: the latter is its home pivot if their Jaccard distance is at most `COVER`, else the former if that one's is,
+  else the set is a pivot itself.
 * **Voronoi regions.** A pivot's region holds the sets whose home it is, up to the covering radius R of the farthest.
   Let x and y be linked and x's home be p. Then x and y share a part, so y learns of p from it, and by the triangle
   inequality d(y, p) <= R + r: sets within that window are replicated into the region, others are not.
 * **Recursion.** A region of more than `region_rows` sets is cut into Voronoi regions of its own pivots; members whose
-  distance to one is within 2 r of that to their nearest one are replicated there. Regions join recursively while they
-  shrink; what does not shrink (texts that are all near one another) is compared in pairs of blocks of bounded size,
-  each set being sent as its difference from the region's pivot, as |A delta B| is that of the differences.
+  distance to one is within 2 r of that to their nearest one are replicated there. Regions join recursively while that
+  leaves fewer pairs; one whose texts are all near one another is compared in pairs of blocks of bounded size, each
+  set being sent as its difference from the region's pivot, as |A delta B| is that of the differences.
 * **Verification** is exact, on whole sets of 64-bit shingle hashes, in integers. A linked pair counts in the region of
   the smaller of its two home pivots alone. Sets are told apart by 128-bit prints.
 
@@ -50,8 +52,8 @@ COVER = 0.5
 LIGHT = 3
 #: How many members of a pivot a task compares with it.
 SALT_ROWS = 4096
-#: A region that keeps more than this share of the rows of the one it was cut from doesn't shrink.
-SHRINK = 0.7
+#: A region whose own regions hold more than this share of its pairs doesn't shrink.
+SHRINK = 0.5
 
 
 class _Words(dict):
@@ -384,10 +386,6 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["node", "added", "root"])
 
 
-_MEMBERS = "path array<long>, homes array<long>, node long, mult long, size long, items binary"
-_MEMBER_TYPES = pa.schema([("path", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64())), ("node", pa.int64()), ("mult", pa.int64()), ("size", pa.int64()), ("items", pa.binary())])
-
-
 def _assign(num: int, den: int):
     """Cogroup of some members and the pivots of a region: a row for each region of theirs into which a member goes.
 
@@ -397,30 +395,30 @@ def _assign(num: int, den: int):
     radius = 1 - num / den
 
     def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
-        rows = members.to_pylist()
-        sets = [np.frombuffer(r["items"], _U) for r in rows]
+        nodes = members["node"].to_pylist()
+        sets = [np.frombuffer(x, _U) for x in members["items"].to_pylist()]
         ps = sorted({r["node"]: np.frombuffer(r["items"], _U) for r in pivots.to_pylist()}.items())
-        out = []
-        if rows and ps:
+        out: list[tuple[int, int, int]] = []
+        if nodes and ps:
             far = np.array([[_far(s, p) for _, p in ps] for s in sets])
             nearest = far.argmin(1)
-            for i, r in enumerate(rows):
-                for j in np.flatnonzero(far[i] <= far[i, nearest[i]] + 2 * radius + 1e-9):
-                    out.append(r | {"path": [*r["path"], ps[j][0]], "homes": [*r["homes"], ps[nearest[i]][0]]})
-        return pa.Table.from_pylist(out, schema=_MEMBER_TYPES)
+            for i, node in enumerate(nodes):
+                out += [(node, ps[j][0], ps[nearest[i]][0]) for j in np.flatnonzero(far[i] <= far[i, nearest[i]] + 2 * radius + 1e-9)]
+        path = [members["path"][0].as_py()] * len(out) if out else []
+        return pa.Table.from_arrays([pa.array(path, pa.list_(pa.int64())), *(pa.array([r[i] for r in out], pa.int64()) for i in range(3))], ["path", "node", "into", "home"])
 
     return run
 
 
 def _differences(members: pa.Table, pivot: pa.Table) -> pa.Table:
     """Some members of a region, each set as its difference from the pivot's."""
-    p = np.frombuffer(pivot["items"][0].as_py(), _U)
+    p = np.frombuffer(pivot["items"][0].as_py(), _U) if pivot.num_rows else np.empty(0, _U)
     items = [np.setxor1d(np.frombuffer(x, _U), p, assume_unique=True).tobytes() for x in members["items"].to_pylist()]
-    return members.drop_columns(["items", "salt"]).append_column("items", pa.array(items, pa.binary())).select(["path", "homes", "node", "mult", "size", "n", "items"]).cast(_DIFFERENCES)
+    names = ["path", "homes", "node", "mult", "size", "n"]
+    return pa.Table.from_arrays([*(members[c].cast(f.type) for c, f in zip(names, _DIFFERENCES)), pa.array(items, pa.binary())], schema=_DIFFERENCES)
 
 
-_DIFFERENCES = pa.schema([*_MEMBER_TYPES][:5] + [("n", pa.int32()), ("items", pa.binary())])
-_GROUP = ("path", "pair", "block", "homes", "node", "mult", "size", "reach", "items")
+_DIFFERENCES = pa.schema([("path", pa.list_(pa.int64())), ("homes", pa.list_(pa.int64())), ("node", pa.int64()), ("mult", pa.int64()), ("size", pa.int64()), ("n", pa.int32()), ("items", pa.binary())])
 
 
 def _recursion(sets: DataFrame, num: int, den: int, region_rows: int, pivots: int) -> list[DataFrame]:
@@ -428,36 +426,34 @@ def _recursion(sets: DataFrame, num: int, den: int, region_rows: int, pivots: in
     one = F.array(F.lit(0), F.lit(0))
     plain = lambda df: df.select("path", one.alias("pair"), F.lit(0).alias("block"), "homes", "node", "mult", "size", F.lit(2.0).alias("reach"), "items")
     ready: list[DataFrame] = []
-    parent = None
     while True:
-        counts = sets.groupBy("path").agg(F.count("*").alias("rows"))
-        big = stored(counts.where(F.col("rows") > region_rows))
+        big = stored(sets.groupBy("path").agg(F.count("*").alias("rows")).where(F.col("rows") > region_rows))
         if not big.head(1):
             return [*ready, plain(sets)]
         ready.append(plain(sets.join(big, "path", "left_anti")))
-        rest = sets.join(big, "path")
         last = F.element_at("path", -1)
-        if parent is not None:  # regions that hardly shrank are compared in blocks
-            up = parent.select(F.col("path").alias("above"), F.col("rows").alias("before"))
-            rest = rest.withColumn("above", F.expr("slice(path, 1, size(path) - 1)")).join(up, "above").drop("above")
-            still = F.col("rows") > SHRINK * F.col("before")
-            n = F.ceil(F.col("rows") / (region_rows // 2)).cast("int")
-            stuck = rest.where(still).withColumn("n", n).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-            center = stuck.where(F.col("node") == last).withColumn("salt", F.explode(F.expr("sequence(0, n - 1)"))).select("path", "salt", "items")
-            near = stuck.select("path", "homes", "node", "mult", "size", "n", "salt", "items").groupBy("path", "salt").cogroup(stored(center).groupBy("path", "salt"))
-            near = stored(near.applyInArrow(_differences, "path array<long>, homes array<long>, node long, mult long, size long, n int, items binary"))
-            near = near.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-            pair = F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair")
-            ready.append(near.select("path", pair, "block", "homes", "node", "mult", "size", F.lit(None).cast("double").alias("reach"), "items"))
-            rest = stored(rest.where(~still).drop("before"))
-            if not rest.head(1):
-                return ready
+        salts = F.ceil(F.col("rows") / region_rows).cast("int")
+        rest = sets.join(big, "path").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
         share = F.pmod(F.xxhash64("node", F.size("path")), F.lit(1 << 30)) / float(1 << 30)
-        salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / region_rows)).cast("int")
-        left = rest.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("rows")
-        right = stored(rest.where((share * F.col("rows") < pivots) | (F.col("node") == last)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("path", "salt", "node", "items"))
-        parent = big
-        sets = stored(left.groupBy("path", "salt").cogroup(right.groupBy("path", "salt")).applyInArrow(_assign(num, den), _MEMBERS))
+        each = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+        chosen = stored(rest.where((share * F.col("rows") < pivots) | (F.col("node") == last)).select("path", each, "node", "items"))
+        into = rest.select("path", "salt", "node", "items").groupBy("path", "salt").cogroup(chosen.groupBy("path", "salt"))
+        into = stored(into.applyInArrow(_assign(num, den), "path array<long>, node long, into long, home long"))
+        work = into.groupBy("path", "into").agg(F.count("*").alias("k")).groupBy("path").agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        cut = stored(big.join(work, "path", "left").select("path", "rows", (F.col("work") <= SHRINK * F.col("rows") * F.col("rows")).alias("shrinks")))
+        # Regions whose own regions would hold nearly all pairs again are compared in blocks.
+        n = F.ceil(F.col("rows") / (region_rows // 2)).cast("int")
+        stuck = sets.join(cut.where(F.expr("shrinks is not true")).drop("shrinks"), "path").withColumn("n", n).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        center = stuck.where(F.col("node") == last).select("path", F.explode(F.expr("sequence(0, n - 1)")).alias("salt"), "items")
+        near = stuck.select("path", "homes", "node", "mult", "size", "n", "salt", "items").groupBy("path", "salt").cogroup(stored(center).groupBy("path", "salt"))
+        near = stored(near.applyInArrow(_differences, "path array<long>, homes array<long>, node long, mult long, size long, n int, items binary"))
+        near = near.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+        pair = F.array(F.least("block", "other"), F.greatest("block", "other")).alias("pair")
+        ready.append(near.select("path", pair, "block", "homes", "node", "mult", "size", F.lit(None).cast("double").alias("reach"), "items"))
+        go = into.join(cut.where("shrinks").select("path"), "path")
+        if not go.head(1):
+            return ready
+        sets = stored(go.join(sets, ["path", "node"]).select(F.concat("path", F.array("into")).alias("path"), F.concat("homes", F.array("home")).alias("homes"), "node", "mult", "size", "items"))
 
 
 def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -474,9 +470,14 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivot
 
     # Each set's home pivot.
     ids = sets.select("node", "lo")
-    asked = nominees.where("m is not null").join(ids.withColumnRenamed("node", "x"), "lo").select("x", F.col("m").alias("lo")).join(ids.withColumnRenamed("node", "p"), "lo").where("x <> p")
-    asked = stored(asked.select("p", "x", F.lit(COVER).alias("reach"), F.col("p").alias("home")))
-    found = measured(asked, sets, False).groupBy("node").agg(F.min(F.struct("far", "p")).alias("best"))
+    up = nominees.where("m is not null")
+    chain = up.withColumn("top", F.col("m"))
+    for _ in range(3):  # eight steps up, towards the smallest print of a family
+        chain = chain.join(chain.select(F.col("lo").alias("top"), F.col("top").alias("next")), "top", "left").select("lo", "m", F.coalesce("next", "top").alias("top"))
+    asked = chain.select("lo", F.explode(F.array_distinct(F.array("top", "m"))).alias("asked"), "top")
+    asked = asked.join(ids.withColumnRenamed("node", "x"), "lo").select("x", F.col("asked").alias("lo"), (F.col("asked") != F.col("top")).alias("second")).join(ids.withColumnRenamed("node", "p"), "lo").where("x <> p")
+    asked = stored(asked.select("p", "x", F.lit(COVER).alias("reach"), F.col("second").cast("long").alias("home")))
+    found = measured(asked, sets, False).groupBy("node").agg(F.min(F.struct(F.col("home").alias("second"), "far", "p")).alias("best"))
     homes = ids.select("node").join(found, "node", "left")
     homes = stored(homes.select("node", F.coalesce("best.p", "node").alias("home"), F.coalesce("best.far", F.lit(0.0)).alias("far")))
     reach = homes.groupBy("home").agg(F.max("far").alias("reach"))
