@@ -100,6 +100,27 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+def _forests(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as those of forests with the same components, of up to `most` edges each: (node, smaller node)."""
+
+    def forest() -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+        root = local_roots(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
+
+    left, right, n = [], [], 0
+    for b in batches:
+        left.append(b.column(0).to_numpy(zero_copy_only=False))
+        right.append(b.column(1).to_numpy(zero_copy_only=False))
+        n += b.num_rows
+        if n >= most:
+            yield forest()
+            left, right, n = [], [], 0
+    if n:
+        yield forest()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): one row (node, component) per node
     that has an edge to another node, `component` being the component's smallest node.
@@ -109,9 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
     The number of rounds grows with the logarithm of a component's size. Empty input gives an empty table.
     """
     spark = edges.sparkSession
-    now = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    now = stored(edges.where("a <> b").select("a", "b").mapInArrow(_forests, "u long, v long").distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
