@@ -2,8 +2,11 @@
 
 * Trusted positives are training rows labelled 1. The unlabelled sample is drawn from all documents that aren't
   held out, whatever their label: the learner never sees a negative label.
-* The class prior pi is estimated as the share of 1 among the training labels, times `PRIOR_MARGIN`: the risk of
-  overfitting starts where pi exceeds the truth.
+* The class prior pi is estimated from these two samples alone: a first classifier tells positives from unlabelled
+  texts, and over all thresholds of its score (fitted on one half of both samples, read on the other, and the reverse)
+  the share of unlabelled texts above is at least pi times that of positives above. The least ratio of the two, with
+  a margin for the error of both shares, bounds pi from above (best bin estimation); the mean of the halves is taken,
+  times `PRIOR_MARGIN`, as the risk of overfitting starts where pi exceeds the truth.
 * The risk is pi R+(f, 1) + max(0, Ru(f, 0) - pi R+(f, 0)) with the sigmoid loss; where the second term falls below
   zero, its gradient is turned round. f is linear in the text statistics below, each cut into quantile bins.
 * The score is sigmoid(f): 0 to 1, higher for likelier quality 1. Features are of the text alone.
@@ -102,6 +105,37 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return w
 
 
+def separating(positive: np.ndarray, unlabelled: np.ndarray, width: int, *, steps: int = 200, l2: float = 1e-3) -> np.ndarray:
+    """Weights of the linear logistic regression of positives against unlabelled rows, both weighing the same."""
+    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+    for step in range(1, steps + 1):
+        p, u = _sigmoid(w[positive].sum(1)), _sigmoid(w[unlabelled].sum(1))
+        g = l2 * w
+        for part, c in ((positive, (p - 1) / len(p)), (unlabelled, u / len(u))):
+            g = g + np.bincount(part.ravel(), np.repeat(c, part.shape[1]), width)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, estimated from the features of both samples."""
+    width = int(max(positive.max(), unlabelled.max())) + 1
+    found = []
+    for half in (0, 1):
+        w = separating(positive[half::2], unlabelled[half::2], width)
+        p, u = (np.sort(w[x[1 - half :: 2]].sum(1)) for x in (positive, unlabelled))
+        if not len(p) or not len(u):
+            continue
+        cuts = np.unique(np.concatenate((p, u)))
+        above_p, above_u = (1 - np.searchsorted(x, cuts, side="left") / len(x) for x in (p, u))
+        slack = np.sqrt(np.log(40.0) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+        good = above_p > 0
+        at = np.argmin((above_u[good] + slack) / above_p[good])
+        found.append(min(1.0, above_u[good][at] / above_p[good][at]))
+    return float(np.mean(found)) if found else 0.5
+
+
 @dataclass
 class Model:
     edges: list[np.ndarray]
@@ -131,8 +165,7 @@ def _matrix(docs: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """The model of labels (doc_id, quality), or None where there is nothing to learn from."""
     train = learnable(labels, "quality")
-    n, share = train.agg(F.count("*"), F.avg("label")).first()
-    if not n or not share:
+    if not train.where("label = 1").head(1):
         return None
     p = _matrix(with_texts(docs, sampled(train.where("label = 1"), positives, 71)))
     every = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
@@ -141,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
         return None
     both = np.concatenate((p, u))
     edges = [np.unique(np.quantile(both[:, j], CUTS)) for j in range(both.shape[1])]
-    model = Model(edges, np.zeros(0), PRIOR_MARGIN * float(share))
+    model = Model(edges, np.zeros(0), 0.0)
     model.weights = np.zeros(len(edges) * (BINS + 1) + 1)
-    w = non_negative_risk(model.columns(p), model.columns(u), model.prior)
+    positive, unlabelled_ = model.columns(p), model.columns(u)
+    model.prior = PRIOR_MARGIN * prior_of(positive, unlabelled_)
+    w = non_negative_risk(positive, unlabelled_, model.prior)
     model.weights[: len(w)] = w
     return model
 
