@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
 def texts(tokens: Column, normalized: bool = True) -> Column:

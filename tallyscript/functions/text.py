@@ -17,9 +17,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import characters as C
+from .sequences import let
 
 #: Java's classes of what the engine calls punctuation, symbols and marks.
 SIGN = r"\p{M}\p{S}\p{P}"
+#: Beyond Latin-1, what texts often have.
+_OFTEN = "œŒ—…"
+#: A code point that is no character.
+_PART = "\uffff"
 
 
 def lowercase(c: Column) -> Column:
@@ -44,17 +49,23 @@ def strip_punctuation(c: Column) -> Column:
 
 
 def _mapped(c: Column, table: dict[str, str], preserve: str = "") -> Column:
-    """Characters that become one or none by `translate`; texts with such as become several also go through a map.
-
-    The map is one foldable literal, so the plan stays small however often the expression is used.
+    """Characters that become one or none by `translate`; in texts with such as become several, the common ones are
+    replaced one after another, which is safe as all of them become ASCII. Only texts with a rare one go through a map,
+    character by character; the map is one foldable literal, so the plan stays small.
     """
     single, to, several = C.parts(table, preserve)
     out = F.translate(c, single, to)
-    if not several:
-        return out
+    common = {k: v for k, v in several.items() if ord(k) < 0x100 or k in _OFTEN}
+    rare = {k: v for k, v in several.items() if k not in common}
+    long = out
+    for char, into in common.items():
+        long = F.replace(long, F.lit(char), F.lit(into))
+    made = F.when(c.rlike(f"[{''.join(common)}]"), long).otherwise(out) if common else out
+    if not rare:
+        return made
     into = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(into, x), F.translate(x, single, to))), "")
-    return F.when(c.rlike(f"[{''.join(several)}]"), long).otherwise(out)
+    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(into, x), F.translate(x, single, to))), "")
+    return F.when(c.rlike(f"[{''.join(rare)}]"), each).otherwise(made)
 
 
 def transliterate_latin_letters(c: Column, preserve: str = "") -> Column:
@@ -120,6 +131,9 @@ class Step:
     token_only: bool = False
     length_preserving: bool = False
 
+    def __call__(self, c: Column) -> Column:
+        return self.build(c, **self.kwargs)
+
 
 #: Text functions by name: (builder, builtin, form for arrays, token_only, length_preserving).
 FUNCTIONS: dict[str, tuple] = {
@@ -171,7 +185,12 @@ class Normalizer:
         return c
 
     def over(self, tokens: Column) -> Column:
-        """The steps on each element of an array; neighbouring built-in steps share one pass."""
+        """The steps on each element of an array.
+
+        Built-in steps that look at one character at a time run over all elements as one text, parted by a character
+        that no step changes: so they are compiled, and nothing is evaluated element by element. Only an array that
+        holds that character, or a step that looks at an element's ends, takes the elements one by one.
+        """
         run: list[Step] = []
 
         def flush(c: Column) -> Column:
@@ -181,11 +200,18 @@ class Normalizer:
             run.clear()
 
             def one(x: Column) -> Column:
-                for s in chain:
-                    x = s.build(x, **s.kwargs)
+                for s in chain:  # a step mentions its text several times
+                    x = let(x, s)
                 return x
 
-            return F.transform(c, one)
+            if any(s.token_only for s in chain):
+                return F.transform(c, one)
+
+            def whole(c: Column) -> Column:
+                parted = let(F.array_join(c, _PART), lambda text: F.split(one(text), _PART, -1))
+                return F.when(F.size(c) == 0, c).when(F.array_join(c, "").contains(_PART), F.transform(c, one)).otherwise(parted)
+
+            return let(c, whole)
 
         for s in self.steps:
             if s.builtin:

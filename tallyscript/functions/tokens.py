@@ -2,7 +2,8 @@
 
 A tokenizer knows, besides its token pattern, the class of characters that can start a token; every one of these
 does start one. So `[^start]*+(token)` cuts a text into contiguous pieces in one linear pass, and offsets are
-running sums of the pieces' lengths.
+running sums of the pieces' lengths. Of a user's pattern no such class is known: there a piece is the shortest gap and
+the token after it. A pattern's matches must not be empty, and may hold groups.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ def escape(chars: str) -> str:
 class Tokenizer:
     name: str
     pattern: str
-    start: str
+    start: str | None = None
     unicode_spaces: bool = False
 
     @property
     def _whole(self) -> str:
-        return f"{'(?U)' if self.unicode_spaces else ''}[^{self.start}]*+({self.pattern})"
+        gap = "(?s:.*?)" if self.start is None else f"[^{self.start}]*+"
+        return f"{'(?U)' if self.unicode_spaces else ''}{gap}({self.pattern})"
 
     def tokens(self, text: Column) -> Column:
         """array<string> of the tokens."""

@@ -10,7 +10,7 @@ insertion and that to a diagonal step.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.sequences import let
+from .distance import columns, distance, distances, ends, masks
 
 MATCH, INSERT, DELETE, SUBSTITUTE = "MATCH", "INSERT", "DELETE", "SUBSTITUTE"
 OP_TYPES = {MATCH: 0, INSERT: 1, DELETE: 2, SUBSTITUTE: 3}
@@ -30,47 +31,81 @@ _OP_ARROW = pa.list_(
         + [(x, pa.bool_()) for x in ("hyp_lp", "hyp_rp", "ref_lp", "ref_rp")]
     )
 )
-#: How many reference tokens one hypothesis token may be split over, and how unlike them it may be.
-MOST_PARTS, MOST_UNLIKE = 4, 0.34
+#: How unlike the reference tokens that it is split over a hypothesis token may be.
+MOST_UNLIKE = 0.34
+#: Up to how many characters tokens are compared all at once.
+SHORT = 24
+#: Every how many columns of a table are kept.
+KEPT = 1024
 
 
-def script(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """(type, ref index, hyp index) of the edit script, in order; the index of a missing side is where it would be."""
+def script(ref: Sequence[Hashable], hyp: Sequence[Hashable]) -> tuple[list[int], list[int], list[int]]:
+    """(type, ref index, hyp index) of each step of the edit script, in order, as three lists; the index of a missing
+    side is where it would be.
+
+    All that the walk back needs is two bits a cell. Columns are kept at every `KEPT`-th token and computed again block
+    by block, so two texts of n and m tokens take n * (m / KEPT + KEPT) bits.
+    """
     n, m = len(ref), len(hyp)
-    head = 0
-    while head < min(n, m) and ref[head] == hyp[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and ref[n - 1 - tail] == hyp[m - 1 - tail]:
-        tail += 1
-    ids: dict[str, int] = {}
-    r = [ids.setdefault(x, len(ids)) for x in ref[head : n - tail]]
-    h = np.array([ids.setdefault(x, len(ids)) for x in hyp[head : m - tail]], np.int64)
-    at = np.arange(len(h) + 1)
-    row = at.copy()
-    # Two bits a cell are all that the walk back needs.
-    down, across = [], []
-    for i, x in enumerate(r, 1):
-        new = np.minimum(row + 1, np.concatenate(([i], row[:-1] + (h != x))))
-        new = np.minimum.accumulate(new - at) + at
-        down.append(np.packbits(new[1:] == row[1:] + 1))
-        across.append(np.packbits(new[:-1] == row[:-1] - 1))
-        row = new
+    head, tail = ends(ref, hyp)
+    r, h = ref[head : n - tail], hyp[head : m - tail]
     i, j = len(r), len(h)
-    middle = []
-    bit = lambda bits, k: bits[k >> 3] >> (7 - (k & 7)) & 1
-    while i or j:
-        if not j or (i and bit(down[i - 1], j - 1)):
-            i -= 1
-            middle.append((DELETE, head + i, head + j))
-        elif not i or bit(across[i - 1], j - 1):
-            j -= 1
-            middle.append((INSERT, head + i, head + j))
-        else:
-            i, j = i - 1, j - 1
-            middle.append((MATCH if r[i] == h[j] else SUBSTITUTE, head + i, head + j))
-    ends = [(MATCH, k, k) for k in range(head)], [(MATCH, n - tail + k, m - tail + k) for k in range(tail)]
-    return [*ends[0], *reversed(middle), *ends[1]]
+    kinds, at_ref, at_hyp = [], [], []
+    if i and j:
+        found, start = masks(r), ((1 << i) - 1, 0)
+        kept = [start]
+        for k, (up, down, _) in enumerate(columns(found, i, h, *start), 1):
+            if k % KEPT == 0:
+                kept.append((up, down))
+        rows = i
+        for block in range((j - 1) // KEPT, -1, -1):
+            low = block * KEPT
+            bits = [kept[block], *((up, down) for up, down, _ in columns(found, rows, h[low : low + KEPT], *kept[block]))]
+            while i and j > low:
+                if bits[j - low][0] >> (i - 1) & 1:
+                    i -= 1
+                    kind = 2
+                else:
+                    j -= 1
+                    if j and bits[j - low][1] >> (i - 1) & 1:
+                        kind = 1
+                    else:
+                        i -= 1
+                        kind = 0 if r[i] == h[j] else 3
+                kinds.append(kind)
+                at_ref.append(head + i)
+                at_hyp.append(head + j)
+    while i:
+        i -= 1
+        kinds.append(2)
+        at_ref.append(head + i)
+        at_hyp.append(head + j)
+    while j:
+        j -= 1
+        kinds.append(1)
+        at_ref.append(head + i)
+        at_hyp.append(head + j)
+    both = list(range(head))
+    return (
+        [0] * head + kinds[::-1] + [0] * tail,
+        both + at_ref[::-1] + list(range(n - tail, n)),
+        both + at_hyp[::-1] + list(range(m - tail, m)),
+    )
+
+
+class _Side:
+    """One side's tokens of a batch as flat columns; a step takes its token by number, -1 for none."""
+
+    def __init__(self, tokens: pa.Array, field: str) -> None:
+        flat = tokens.flatten()
+        lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.text, self.idx, self.first, self.last = (flat.field(x) for x in (field, "idx", "start", "end"))
+
+    def taken(self, at: np.ndarray) -> dict[str, pa.Array]:
+        at = pa.array(at, mask=at < 0)
+        return {"": self.text.take(at), "_idx": self.idx.take(at), "_start": self.first.take(at), "_end": self.last.take(at)}
 
 
 def edit_script(ref: Column, hyp: Column, normalized: bool = True) -> Column:
@@ -78,58 +113,41 @@ def edit_script(ref: Column, hyp: Column, normalized: bool = True) -> Column:
     from pyspark.sql.pandas.functions import arrow_udf
 
     field = "norm" if normalized else "raw"
+    names = pa.array(list(OP_TYPES))
 
     @arrow_udf(OPS)
     def ops(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            if x is None or y is None:
-                rows.append(None)
-                continue
-            own = []
-            for kind, i, j in script([t[field] for t in x], [t[field] for t in y]):
-                o: dict = {"type": kind, "hyp_lp": False, "hyp_rp": False, "ref_lp": False, "ref_rp": False}
-                if kind != INSERT:
-                    o |= {"ref": x[i][field], "ref_idx": i, "ref_start": x[i]["start"], "ref_end": x[i]["end"]}
-                if kind != DELETE:
-                    o |= {"hyp": y[j][field], "hyp_idx": j, "hyp_start": y[j]["start"], "hyp_end": y[j]["end"]}
-                own.append(o)
-            rows.append(own)
-        return pa.array(rows, _OP_ARROW)
+        left, right = _Side(a, field), _Side(b, field)
+        codes = pa.chunked_array([left.text.cast(pa.string()), right.text.cast(pa.string())]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).tolist()
+        there = (a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        shift = len(left.text)
+        kinds, at_ref, at_hyp, sizes = [], [], [], [0]
+        for valid_, s, e, t, f in zip(there, left.starts.tolist(), left.ends.tolist(), right.starts.tolist(), right.ends.tolist(), strict=True):
+            k, i, j = script(codes[s:e], codes[shift + t : shift + f]) if valid_ else ([], [], [])
+            kinds.append(np.array(k, np.int8))
+            at_ref.append(np.array(i, np.int64) + s)
+            at_hyp.append(np.array(j, np.int64) + t)
+            sizes.append(sizes[-1] + len(k))
+        kind, i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (kinds, at_ref, at_hyp))
+        no = pa.array(np.zeros(len(kind), bool))
+        made = {f"ref{k}": v for k, v in left.taken(np.where(kind == OP_TYPES[INSERT], -1, i)).items()} | {f"hyp{k}": v for k, v in right.taken(np.where(kind == OP_TYPES[DELETE], -1, j)).items()}
+        made |= {"type": names.take(pa.array(kind)), "hyp_lp": no, "hyp_rp": no, "ref_lp": no, "ref_rp": no}
+        flat = pa.StructArray.from_arrays([made[f.name].cast(f.type) for f in _OP_ARROW.value_type], fields=list(_OP_ARROW.value_type))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=np.array([*(not x for x in there), False])), flat)
 
     return ops(ref, hyp)
 
 
-def _char_table(a: str, b: str) -> np.ndarray:
-    at = np.arange(len(b) + 1)
-    h = np.array([ord(c) for c in b], np.int64)
-    table = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    table[0] = at
-    for i, c in enumerate(a, 1):
-        new = np.minimum(table[i - 1] + 1, np.concatenate(([i], table[i - 1][:-1] + (h != ord(c)))))
-        table[i] = np.minimum.accumulate(new - at) + at
-    return table
-
-
-def _boundaries(parts: list[str], whole: str) -> tuple[list[int], int]:
-    """Where `whole` is cut so that its pieces align with `parts`, and the distance of the joined parts to it."""
-    text = "".join(parts)
-    table = _char_table(text, whole)
-    i, j = len(text), len(whole)
-    column = {i: j}
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (text[i - 1] != whole[j - 1]):
-            i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-        column[i] = min(column.get(i, j), j) if i else 0
+def _boundaries(parts: list[str], whole: str) -> list[int]:
+    """Where `whole` is cut so that its pieces align with `parts`."""
+    column = [0] * (sum(map(len, parts)) + 1)
+    for kind, i, j in reversed(list(zip(*script("".join(parts), whole), strict=True))):
+        column[i + (kind != 1)] = max(column[i + (kind != 1)], j + (kind != 2))
     cuts, done = [], 0
     for p in parts[:-1]:
         done += len(p)
-        cuts.append(column[done])
-    return cuts, int(table[-1, -1])
+        cuts.append(max(column[: done + 1]))
+    return cuts
 
 
 def plain(text: str) -> str:
@@ -141,64 +159,90 @@ def compound_script(ref: list[str], hyp: list[str]) -> list[tuple[str, int | Non
     """(type, ref index, hyp index, first and last character of the hyp token, left partial, right partial).
 
     A word-level alignment whose substitutions cost by how unlike the words are, from 1/2 to 1, with one more step:
-    a hyp token against two to `MOST_PARTS` reference tokens that it is like when they are joined.
+    a hyp token against two or more reference tokens that it is like when they are joined; how many is a matter of their
+    lengths alone. Each row of the table is computed as a whole.
     """
     n, m = len(ref), len(hyp)
     known: dict[tuple[str, str], float] = {}
 
     def unlike(a: str, b: str) -> float:
+        """From 0 for equal strings to 1."""
         if (a, b) not in known:
-            known[a, b] = float(_char_table(a, b)[-1, -1]) / max(len(a), len(b), 1)
+            known[a, b] = distance(a, b) / max(len(a), len(b), 1)
         return known[a, b]
 
-    # Where both are long, only the part between common ends needs the table.
-    head = 0
-    while head < min(n, m) and ref[head] == hyp[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and ref[n - 1 - tail] == hyp[m - 1 - tail]:
-        tail += 1
-    head = max(0, head - MOST_PARTS)
-    tail = max(0, tail - MOST_PARTS)
+    # Where both are long, only the part between common ends needs the table, and what a compound may reach from there.
+    longest = max(map(len, hyp), default=0)
+    reach = int(longest / (1 - MOST_UNLIKE)) + 1
+    head, tail = ends(ref, hyp)
+    head, tail = max(0, head - reach), max(0, tail - reach)
     r, h = ref[head : n - tail], hyp[head : m - tail]
-    cost = np.zeros((len(r) + 1, len(h) + 1))
-    step = np.zeros((len(r) + 1, len(h) + 1), np.int8)  # 0 delete, 1 insert, 2 diagonal, k + 1 compound of k
-    cost[:, 0], cost[0, :] = np.arange(len(r) + 1), np.arange(len(h) + 1)
-    step[0, :] = 1
+    where: dict[str, list[int]] = {}
+    for j, b in enumerate(h):
+        where.setdefault(b, []).append(j)
+    by_length: dict[int, list[tuple[str, Callable[[str], bool]]]] = {}
+    for b in where:
+        by_length.setdefault(len(b), []).append((b, frozenset(b).__contains__))
+    order = np.array([j for at in where.values() for j in at], np.int64)
+    times = np.array([len(at) for at in where.values()], np.int64)
+    at = np.arange(len(h) + 1)
+    # All short tokens of one side against those of the other at once.
+    mine, theirs = ([x for x in dict.fromkeys(side) if len(x) <= SHORT] for side in (r, h))
+    if mine and theirs:
+        for a, own in zip(mine, distances(mine, theirs).tolist(), strict=True):
+            known.update(((a, b), d / max(len(a), len(b), 1)) for b, d in zip(theirs, own, strict=True))
+    costs = [at.astype(float)]
+    steps = [np.ones(len(h) + 1, np.int32)]  # 0 delete, 1 insert, 2 diagonal, k + 1 compound of k
+    rows: dict[str, np.ndarray] = {}
     for i in range(1, len(r) + 1):
-        for j in range(1, len(h) + 1):
-            a, b = r[i - 1], h[j - 1]
-            best, how = cost[i - 1, j - 1] + (0.0 if a == b else 0.5 + 0.5 * unlike(a, b)), 2
-            if cost[i - 1, j] + 1 < best:
-                best, how = cost[i - 1, j] + 1, 0
-            if cost[i, j - 1] + 1 < best:
-                best, how = cost[i, j - 1] + 1, 1
-            for k in range(2, min(MOST_PARTS, i) + 1):
-                size = sum(map(len, r[i - k : i]))
-                if abs(size - len(b)) > MOST_UNLIKE * max(size, len(b)):
-                    continue
-                u = unlike("".join(r[i - k : i]), b)
-                if u <= MOST_UNLIKE and cost[i - k, j - 1] + 0.5 + u < best:
-                    best, how = cost[i - k, j - 1] + 0.5 + u, k + 1
-            cost[i, j], step[i, j] = best, how
+        a = r[i - 1]
+        if a not in rows:
+            own = np.empty(len(h))
+            own[order] = np.repeat([0.0 if a == b else 0.5 + 0.5 * unlike(a, b) for b in where], times) if where else []
+            rows[a] = own
+        above = costs[-1]
+        best = np.empty(len(h) + 1)
+        best[0] = i
+        best[1:] = above[:-1] + rows[a]
+        how = np.full(len(h) + 1, 2, np.int32)
+        how[0] = 0
+        less = above[1:] + 1 < best[1:]
+        best[1:][less] = above[1:][less] + 1
+        how[1:][less] = 0
+        joined, k = a, 1
+        while k < i and len(joined) * (1 - MOST_UNLIKE) <= longest:
+            k += 1
+            joined = r[i - k] + joined
+            size = len(joined)
+            for length in range(int(np.ceil(size * (1 - MOST_UNLIKE))), min(longest, int(size / (1 - MOST_UNLIKE))) + 1):
+                for b, has in by_length.get(length, ()):
+                    # Each character that b lacks is an edit at least.
+                    if size - sum(map(has, joined)) <= MOST_UNLIKE * max(size, length) and (u := unlike(joined, b)) <= MOST_UNLIKE:
+                        for j in where[b]:
+                            if costs[i - k][j] + 0.5 + u < best[j + 1]:
+                                best[j + 1], how[j + 1] = costs[i - k][j] + 0.5 + u, k + 1
+        lowest = np.minimum.accumulate(best - at) + at
+        how[lowest < best - 1e-9] = 1
+        costs.append(lowest)
+        steps.append(how)
     out = [(MATCH, n - 1 - k, m - 1 - k, 0, len(hyp[m - 1 - k]), False, False) for k in range(tail)]
     i, j = len(r), len(h)
     while i or j:
-        how = step[i, j] if i else 1
-        if how == 0:
+        step = steps[i][j] if i else 1
+        if step == 0:
             i -= 1
             out.append((DELETE, head + i, None, 0, 0, False, False))
-        elif how == 1:
+        elif step == 1:
             j -= 1
             out.append((INSERT, None, head + j, 0, len(h[j]), False, False))
-        elif how == 2:
+        elif step == 2:
             i, j = i - 1, j - 1
             out.append((MATCH if r[i] == h[j] else SUBSTITUTE, head + i, head + j, 0, len(h[j]), False, False))
         else:
-            k = how - 1
+            k = int(step) - 1
             j -= 1
             parts, whole = r[i - k : i], h[j]
-            cuts = [0, *_boundaries(parts, whole)[0], len(whole)]
+            cuts = [0, *_boundaries(parts, whole), len(whole)]
             for p in range(k - 1, -1, -1):
                 a, b = cuts[p], cuts[p + 1]
                 kind = DELETE if a == b else MATCH if whole[a:b] == parts[p] else SUBSTITUTE
@@ -277,10 +321,14 @@ def ops_between(ops: Column, start: Column, stop: Column | None = None, side: st
     return F.when(a.isNull() | b.isNull() | (stop < start), bad.cast(OPS)).otherwise(F.slice(ops, a + 1, b - a + 1))
 
 
-def segment(ops: Column, start: Column, stop: Column, side: str = "ref") -> Column:
-    """The operations of the tokens start to stop - 1."""
-    a, b = place(ops, start, side), place(ops, stop - 1, side)
-    return F.slice(ops, a + 1, b - a + 1)
+def places(ops: Column, side: str = "ref") -> Column:
+    """The place (from 0) of each token's operation, by the token's number."""
+    return F.filter(F.transform(ops, lambda o, i: F.when(o[f"{side}_idx"].isNotNull(), i)), lambda i: i.isNotNull())
+
+
+def segment(ops: Column, at: Column, start: Column, stop: Column) -> Column:
+    """The operations of the tokens start to stop - 1, `at` being the `places` of a side."""
+    return F.slice(ops, F.get(at, start) + 1, F.get(at, stop - 1) - F.get(at, start) + 1)
 
 
 def op_at(ops: Column, offset: Column, end: bool = False) -> Column:

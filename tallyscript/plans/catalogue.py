@@ -20,7 +20,7 @@ from ..operators import align as A
 from ..operators import terms as M
 from ..reporting import html
 from ..sources import writers
-from . import config
+from . import config, oracle
 from .config import PipelineKey, Pipelines
 from .evaluation import EvalSet
 from .registry import METRICS, catalog
@@ -46,11 +46,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ex_id, ref, hyp): each turn and the next one of its conversation."""
+    """(ex_id, ref, hyp): each turn and the next one of its conversation, spread over all tasks; turns without a text
+    are in no pair. Turns are numbered from 0 to 999,999."""
     t = _read(spark, sf_dir, "conversations").where("text is not null")
     a = t.select("conv_id", "turn", F.col("text").alias("ref"))
     b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"), "ref", "hyp")
+    return a.join(b, ["conv_id", "turn"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ex_id"), "ref", "hyp")
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def parts_with_own_terms(spark: SparkSession, sf_dir: str) -> EvalSet:
 
 # --- SQL of the pieces ---------------------------------------------------------------------------------------------
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
-_PAIRS = "select a.conv_id * 1000 + a.turn as ex_id, a.text as ref, b.text as hyp from conversations a join conversations b on a.conv_id = b.conv_id and a.turn + 1 = b.turn"
+_PAIRS = "select a.conv_id * 1000000 + a.turn as ex_id, a.text as ref, b.text as hyp from conversations a join conversations b on a.conv_id = b.conv_id and a.turn + 1 = b.turn"
 _PARTS = "select a.p_partkey as ex_id, a.p_name as ref, b.p_name as hyp from part a join part b on a.p_partkey + 1 = b.p_partkey"
 
 
@@ -188,6 +189,26 @@ _tokens("tok_strip_punctuation", "strip_punctuation", K.strip_punctuation_patter
 _tokens("tok_whitespace_pages", "whitespace", _PIPELINES.tokenizers["legacy"], "pages", "page_id", "html")
 
 
+#: A user's pattern with a group and gaps.
+_USER = r"(\w)\w*'?s?"
+
+
+def user_pattern() -> str:
+    return _USER
+
+
+@_query(
+    "tok_user_pattern",
+    f"""select doc_id, array_to_string(t, chr(10)) as tokens, array_to_string(list_transform(range(1, len(t) + 1), lambda i: cast({oracle.END.format(i='i')} - length(t[i]) as bigint)), ',') as starts
+ from {oracle.spans('text', r"[0-9A-Za-z_]+(?:''s|s|'')?", lambda x: x, 'doc_id', 'documents').replace("''", "''")}""",
+)
+def tok_user_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own tokenizer by a dotted path, with offsets."""
+    own = config.tokenizer("own", {f"{__name__}.user_pattern": None})
+    d = _read(spark, sf_dir, "documents").select("doc_id", own.spans(F.col("text")).alias("t"))
+    return d.select("doc_id", F.array_join(F.col("t.raw"), "\n").alias("tokens"), F.array_join(F.col("t.start").cast("array<string>"), ",").alias("starts"))
+
+
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents")
     return d.select("doc_id", config.tokens(_PIPELINES, _DEFAULT, F.col("text")).alias("toks"), _PIPELINES.standardizers["default"](F.col("text")).alias("standard"))
@@ -222,7 +243,10 @@ def ngrams_3_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_tokens(spark, sf_dir).select("doc_id", F.array_join(Q.spaced_ngrams(Q.texts(F.col("toks")), 3), "\n").alias("grams"))
 
 
-@_query("ngrams_2_joined")
+_SPANS = oracle.spans(_sql_standard("text"), _SQL_TOKENS["default"], _sql_normal, "doc_id", "documents")
+
+
+@_query("ngrams_2_joined", f"select doc_id, array_to_string(list_transform(range(1, len(t)), lambda i: n[i] || case when length(p[i + 1]) > length(t[i + 1]) then ' ' else '' end || n[i + 1]), chr(10)) as grams from {_SPANS}")
 def ngrams_2_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_tokens(spark, sf_dir).select("doc_id", F.array_join(Q.ngrams(F.col("toks"), 2, join_tokens=True), "\n").alias("grams"))
 
@@ -234,7 +258,7 @@ def token_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(Q.indices(F.col("toks"), F.get("toks", F.lit(0))["norm"]).cast("array<string>"), ",").alias("places"))
 
 
-@_query("joined_text")
+@_query("joined_text", f"select doc_id, {oracle.joined()} as joined, {oracle.joined('t')} as joined_raw from {_SPANS}")
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_tokens(spark, sf_dir).select("doc_id", Q.joined(F.col("toks")).alias("joined"), Q.joined(F.col("toks"), False).alias("joined_raw"))
 
@@ -246,7 +270,14 @@ def flat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("norm").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
 
 
-@_query("kwic")
+_KWIC = f"select doc_id, k, s, {oracle.END.format(i='k + 1')} as e, length(t[k + 1]) as w from (select *, len(t) // 2 as k from {_SPANS} where len(t) > 0)"
+
+
+@_query(
+    "kwic",
+    f"""select doc_id, cast(k as int) as idx, case when e - w > 20 then '...' else '' end || substr(s, cast(greatest(e - w - 20, 0) + 1 as bigint), cast(least(e - w, 20) as bigint)) || '['
+ || substr(s, cast(e - w + 1 as bigint), w) || ']' || substr(s, cast(e + 1 as bigint), 20) || case when e + 20 < length(s) then '...' else '' end as context from ({_KWIC})""",
+)
 def kwic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's middle token in its context."""
     d = _document_tokens(spark, sf_dir).withColumn("t", F.get("toks", F.floor(F.size("toks") / 2).cast("int"))).where("t is not null")
@@ -290,7 +321,10 @@ for _suffix, _fn in _LEGACY.items():
     _words = lambda c, fn=_fn: f"list_transform({_sql_tokens(_sql_standard(c), 'whitespace')}, lambda t: {fn('t')})"
     _rate(f"legacy_wer{_suffix}", conversations, _PAIRS, f"legacy_wer{_suffix}", _words)
     _rate(f"legacy_cer{_suffix}", parts, _PARTS, f"legacy_cer{_suffix}", lambda c, w=_words: f"string_split(array_to_string({w(c)}, ' '), '')")
-_metric("cer", conversations, "cer")
+_SIDE = lambda c: oracle.spans(_sql_standard(c), _SQL_TOKENS["default"], _sql_normal, "ex_id", f"({_PAIRS})")
+_CER = f"""select *, {_RATE} as value from (select a.ex_id, cast({oracle.levenshtein('a.x', 'b.x')} as bigint) as num_edits, cast(length(a.x) as bigint) as ref_length
+ from (select ex_id, {oracle.joined()} as x from {_SIDE('ref')}) a join (select ex_id, {oracle.joined()} as x from {_SIDE('hyp')}) b on a.ex_id = b.ex_id)"""
+_metric("cer", conversations, "cer", _CER, _sql_total(_CER))
 
 _SUMMARY = f"""select ex_id, cast(len({_sql_tokens('r')}) as bigint) as num_ref_words, cast(length(r) as bigint) as num_ref_chars, cast(len({_sql_tokens('h')}) as bigint) as num_hyp_words, cast(length(h) as bigint) as num_hyp_chars
 from (select ex_id, {_sql_standard('ref')} as r, {_sql_standard('hyp')} as h from ({_PAIRS}))"""
@@ -298,10 +332,24 @@ _sums = lambda *names: ", ".join(f"cast(coalesce(sum({n}), 0) as bigint) as {n}"
 _metric("summary", conversations, "summary", _SUMMARY, f"select count(*) as num_examples, {_sums('num_ref_words', 'num_ref_chars', 'num_hyp_words', 'num_hyp_chars')} from ({_SUMMARY})")
 
 
-@_query("wer_by_role", f"select role, num_edits, ref_length, {_RATE} as value from (select role, cast(sum(num_edits) as bigint) as num_edits, cast(sum(ref_length) as bigint) as ref_length from ({_sql_wer(_PAIRS, _sql_normal_tokens)}) e join conversations c on e.ex_id = c.conv_id * 1000 + c.turn group by role)")
+@_query("wer_size", f"select count(*) as n_pairs, cast(sum(len(r) * len(h)) as bigint) as cells from (select {_sql_normal_tokens('ref')} as r, {_sql_normal_tokens('hyp')} as h from ({_PAIRS}))")
+def wer_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells the distance tables of all pairs have, by tokens."""
+    both = conversations(spark, sf_dir).token_strings(_DEFAULT)
+    return both.agg(F.count("*").alias("n_pairs"), F.sum(F.size("ref").cast("long") * F.size("hyp")).alias("cells"))
+
+
+@_query("cer_size", f"select count(*) as n_pairs, cast(sum(length(a.x) * length(b.x)) as bigint) as cells from (select ex_id, {oracle.joined()} as x from {_SIDE('ref')}) a join (select ex_id, {oracle.joined()} as x from {_SIDE('hyp')}) b on a.ex_id = b.ex_id")
+def cer_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by characters."""
+    both = conversations(spark, sf_dir).tokenized(_DEFAULT)
+    return both.agg(F.count("*").alias("n_pairs"), F.sum(F.length(Q.joined(F.col("ref"))).cast("long") * F.length(Q.joined(F.col("hyp")))).alias("cells"))
+
+
+@_query("wer_by_role", f"select role, num_edits, ref_length, {_RATE} as value from (select role, cast(sum(num_edits) as bigint) as num_edits, cast(sum(ref_length) as bigint) as ref_length from ({_sql_wer(_PAIRS, _sql_normal_tokens)}) e join conversations c on e.ex_id = c.conv_id * 1000000 + c.turn group by role)")
 def wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset's value per group of examples."""
-    groups = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"), "role")
+    groups = _read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ex_id"), "role")
     return conversations(spark, sf_dir).metrics.wer().aggregated(["role"], groups)
 
 
@@ -314,82 +362,111 @@ cast(case c when 'both' then 0 when 'none' then 2 when 'moved' then 0 else 1 end
 cast(case c when 'moved' then 1 else 0 end as bigint) as num_insertions, cast(case c when 'moved' then 1 else 0 end as bigint) as num_deletions,
 cast(case c when 'both' then 0 when 'none' then 2 when 'moved' then 2 else 1 end as bigint) as num_edits,
 cast(case c when 'moved' then 3 else 2 end as bigint) as num_ops from ({_CASE})"""
+_SCRIPTS = oracle.scripts(_PAIRS, _sql_normal_tokens)
 
 
-def _part_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).alignments("levenshtein")
+def _turn_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).alignments("levenshtein")
 
 
-@_query("edit_op_counts", _COUNTS)
-def edit_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("edit_op_counts_parts", _COUNTS)
+def edit_op_counts_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).metrics.levenshtein().examples().drop("alignment")
 
 
-@_query("edit_ops")
+@_query("edit_op_counts", f"{_SCRIPTS} {oracle.counts()}")
+def edit_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).metrics.levenshtein().examples().drop("alignment")
+
+
+@_query("edit_ops", f"{_SCRIPTS} select ex_id, o as op, type, rt as ref, ht as hyp, i as ref_idx, j as hyp_idx from ops")
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.op_rows(conversations(spark, sf_dir).alignments("levenshtein"))
+    return writers.op_rows(_turn_ops(spark, sf_dir)).select("ex_id", "op", "type", "ref", "hyp", "ref_idx", "hyp_idx")
 
 
 @_query("edit_op_totals", f"select cast(sum(num_edits) as bigint) as num_edits, cast(sum(ref_length) as bigint) as ref_length from ({_sql_wer(_PAIRS, _sql_normal_tokens)})")
 def edit_op_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scripts' edits are the distances, and each reference token is in one operation."""
-    ops = conversations(spark, sf_dir).alignments("levenshtein").select("ops")
-    return ops.agg(F.sum(A.count(F.col("ops"), A.INSERT, A.DELETE, A.SUBSTITUTE)).alias("num_edits"), F.sum(A.count(F.col("ops"), A.MATCH, A.DELETE, A.SUBSTITUTE)).alias("ref_length"))
+    types = _turn_ops(spark, sf_dir).select(F.col("ops.type").alias("types"))
+    n = lambda *kinds: F.sum(F.size(F.filter("types", lambda t: t.isin(*kinds)))).cast("long")
+    return types.agg(n(A.INSERT, A.DELETE, A.SUBSTITUTE).alias("num_edits"), n(A.MATCH, A.DELETE, A.SUBSTITUTE).alias("ref_length"))
 
 
-@_query("op_types", "select 0 as type_id, 'MATCH' as type union all select 1, 'INSERT' union all select 2, 'DELETE' union all select 3, 'SUBSTITUTE'")
+@_query("op_types", f"{_SCRIPTS} select type, case type when 'MATCH' then 0 when 'INSERT' then 1 when 'DELETE' then 2 else 3 end as type_id, count(*) as n from ops group by type")
 def op_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(v, k) for k, v in A.OP_TYPES.items()], "type_id int, type string")
+    """The numbers of the types, and how many operations of each there are."""
+    ids = F.create_map(*(F.lit(x) for pair in A.OP_TYPES.items() for x in pair))
+    return writers.op_rows(_turn_ops(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n")).select("type", ids[F.col("type")].alias("type_id"), "n")
 
 
-_FIRST = "cast(case c when 'moved' then 1 else 0 end as int)"
-_SECOND = "cast(case c when 'moved' then 2 else 1 end as int)"
+def _index_map(side: str, column: str) -> None:
+    @_query(f"{side}_index_map", f"{_SCRIPTS} select ex_id, {column} as token, max(o) as op from ops where {column} is not null group by ex_id, {column}")
+    def index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _turn_ops(spark, sf_dir).select("ex_id", F.explode(A.index_mapping(F.col("ops"), side)).alias("token", "op"))
 
 
-@_query("ref_index_map", f"select ex_id, {_FIRST} as first_op, {_SECOND} as second_op from ({_CASE})")
-def ref_index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _part_ops(spark, sf_dir).select("ex_id", A.index_mapping(F.col("ops")).alias("m"))
-    return m.select("ex_id", F.element_at("m", F.lit(0)).alias("first_op"), F.element_at("m", F.lit(1)).alias("second_op"))
+_index_map("ref", "i")
+_index_map("hyp", "j")
 
 
-@_query("hyp_index_map", f"select ex_id, 0 as first_op, 1 as second_op from ({_CASE})")
-def hyp_index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _part_ops(spark, sf_dir).select("ex_id", A.index_mapping(F.col("ops"), "hyp").alias("m"))
-    return m.select("ex_id", F.element_at("m", F.lit(0)).alias("first_op"), F.element_at("m", F.lit(1)).alias("second_op"))
+@_query(
+    "ops_from_ref_index",
+    f"""{_SCRIPTS} select b.ex_id, count(o.o) as n_ops, cast(count(o.o) filter (o.type = 'INSERT') as bigint) as n_insertions from paired b join ops first on first.ex_id = b.ex_id and first.i = 0
+ join ops last on last.ex_id = b.ex_id and last.i = len(b.r) // 2 join ops o on o.ex_id = b.ex_id and o.o between first.o and last.o group by b.ex_id""",
+)
+def ops_from_ref_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations from a reference's first token to its middle one, with the insertions between them."""
+    d = conversations(spark, sf_dir)
+    sizes = d.token_strings(_DEFAULT).select("ex_id", F.floor(F.size("ref") / 2).cast("int").alias("middle")).where(F.size("ref") > 0)
+    part = d.alignments("levenshtein").join(sizes, "ex_id").select("ex_id", A.ops_between(F.col("ops"), F.lit(0), F.col("middle")).alias("part"))
+    return part.select("ex_id", F.size("part").cast("long").alias("n_ops"), A.count(F.col("part"), A.INSERT).alias("n_insertions"))
 
 
-@_query("ops_from_ref_index", f"select ex_id, cast(2 as bigint) as n_ops from ({_CASE})")
-def ops_from_ref_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operations of both words of a reference, with what lies between them."""
-    return _part_ops(spark, sf_dir).select("ex_id", F.size(A.ops_between(F.col("ops"), F.lit(0), F.lit(1))).cast("long").alias("n_ops"))
+_TURN_SPANS = oracle.spans(_sql_standard("ref"), _SQL_TOKENS["default"], _sql_normal, "ex_id", f"({_PAIRS})")
 
 
-@_query("op_by_char_offset", f"select ex_id, r1 as at_start, r2 as at_end from ({_TWO})")
+@_query("op_by_char_offset", f"select ex_id, n[1] as at_start, n[-1] as at_end from {_TURN_SPANS} where len(t) > 0 and length(p[1]) = length(t[1])")
 def op_by_char_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = _part_ops(spark, sf_dir).join(part_pairs(spark, sf_dir), "ex_id")
-    return ops.select("ex_id", A.op_at(F.col("ops"), F.lit(0))["ref"].alias("at_start"), A.op_at(F.col("ops"), F.length("ref"), True)["ref"].alias("at_end"))
+    """The operations at the offsets where a reference's first token starts and its last one ends; texts that begin with a token."""
+    d = conversations(spark, sf_dir)
+    at = d.tokenized(_DEFAULT).select("ex_id", F.element_at("ref", -1)["end"].alias("stop")).where(F.get("ref", F.lit(0))["start"] == 0)
+    ops = d.alignments("levenshtein").join(at, "ex_id")
+    return ops.select("ex_id", A.op_at(F.col("ops"), F.lit(0))["ref"].alias("at_start"), A.op_at(F.col("ops"), F.col("stop"), True)["ref"].alias("at_end"))
 
 
-@_query("op_constraints", f"select count(*) as n, count(*) as n_valid from ({_PARTS})")
+@_query(
+    "op_constraints",
+    f"{_SCRIPTS} select count(*) as n, cast(sum(good) as bigint) as n_valid from (select b.ex_id, case when coalesce(bool_and(case type when 'INSERT' then rt is null and ht is not null when 'DELETE' then rt is not null and ht is null else rt is not null and ht is not null end), true) then 1 else 0 end as good from paired b left join ops o on b.ex_id = o.ex_id group by b.ex_id)",
+)
 def op_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_ops(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(A.valid(F.col("ops"))).alias("n_valid"))
+    return _turn_ops(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(A.valid(F.col("ops"))).alias("n_valid"))
 
 
-@_query("alignment_slice", f"select ex_id, num_matches, num_edits from (select ex_id, cast(case when r1 = h1 then 1 else 0 end as bigint) as num_matches, cast(case when r1 = h1 then 0 else 1 end as bigint) as num_edits from ({_TWO}))")
+@_query("alignment_slice", f"{_SCRIPTS} select b.ex_id, cast(count(o.o) filter (type = 'MATCH') as bigint) as num_matches, cast(count(o.o) filter (type <> 'MATCH') as bigint) as num_edits from paired b left join ops o on b.ex_id = o.ex_id and o.o between 2 and 11 group by b.ex_id")
 def alignment_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of an alignment's first operation."""
-    ops = _part_ops(spark, sf_dir).select("ex_id", F.slice("ops", 1, 1).alias("ops"))
+    """Counts of an alignment's third to twelfth operation."""
+    ops = _turn_ops(spark, sf_dir).select("ex_id", F.slice("ops", 3, 10).alias("ops"))
     return ops.select("ex_id", *(A.counts(F.col("ops"))[k].alias(k) for k in ("num_matches", "num_edits")))
 
 
-@_query("alignment_json")
+_STARTS = f"""select ex_id, r, h, list_transform(range(1, len(r) + 1), lambda k: case when k = 1 then 0 else list_sum(list_transform(r[1:k - 1], lambda x: length(x) + 1)) end) as rs,
+ list_transform(range(1, len(h) + 1), lambda k: case when k = 1 then 0 else list_sum(list_transform(h[1:k - 1], lambda x: length(x) + 1)) end) as hs from paired"""
+
+
+@_query(
+    "alignment_json",
+    f"""{oracle.scripts(_PARTS, lambda c: f"string_split({c}, ' ')")} select ex_id, to_json(list(struct_pack("type" := type, ref := rt, hyp := ht, ref_idx := i, hyp_idx := j, ref_start := cast(rs[i + 1] as int),
+ ref_end := cast(rs[i + 1] + length(rt) as int), hyp_start := cast(hs[j + 1] as int), hyp_end := cast(hs[j + 1] + length(ht) as int), hyp_lp := false, hyp_rp := false, ref_lp := false, ref_rp := false) order by o)) as json
+ from ops join ({_STARTS}) using (ex_id) group by ex_id""",
+)
 def alignment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_ops(spark, sf_dir).select("ex_id", writers.json_ops(F.col("ops")).alias("json"))
+    return parts(spark, sf_dir).alignments("levenshtein").select("ex_id", writers.json_ops(F.col("ops")).alias("json"))
 
 
 @_query("error_align_ops")
 def error_align_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).metrics.error_align().examples().drop("alignment")
+    """The compound aligner is our own, with costs that no SQL restates; the tests compare it with a brute force."""
+    return conversations(spark, sf_dir).metrics.error_align().examples().drop("alignment")
 
 
 # --- key terms --------------------------------------------------------------------------------------------------------
@@ -475,6 +552,47 @@ _metric("legacy_deletions", parts, "legacy_deletions", rows=False)
 _metric("legacy_del_hallucinations", parts, "legacy_del_hallucinations", rows=False)
 
 
+# --- key terms in conversations ---------------------------------------------------------------------------------------
+def turn_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vocab, term): the first word, the first three words and the third and fourth word of each turn."""
+    words = F.split("text", " ")
+    t = _read(spark, sf_dir, "conversations").where("text is not null").select(F.explode(F.array(*(F.array_join(F.slice(words, a, n), " ") for a, n in ((1, 1), (1, 3), (3, 2))))).alias("term"))
+    return t.select(F.lit("openings").alias("vocab"), "term").distinct()
+
+
+def turns_with_terms(spark: SparkSession, sf_dir: str) -> EvalSet:
+    return conversations(spark, sf_dir).add_key_term_table(turn_vocabulary(spark, sf_dir), ["openings"])
+
+
+_KEY_NORMAL = lambda c: _sql_normal_tokens(c, "key_term")
+_OPENINGS = f"""select distinct toks from (select {_KEY_NORMAL('term')} as toks from (select distinct array_to_string(x, ' ') as term from (
+ select unnest([w[1:1], w[1:3], w[3:4]]) as x from (select string_split(text, ' ') as w from conversations where text is not null)))) where len(toks) > 0"""
+_KEY_SCRIPTS = oracle.scripts(_PAIRS, _KEY_NORMAL)
+#: A word between spaces may be several tokens ("well-known"), so terms of three words have up to nine.
+_TURN_MATCHES, _TURN_SUBSETS = (_KEY_SCRIPTS + oracle.matches(_OPENINGS, 9, subset) for subset in (False, True))
+_FOUND_TURNS = "select ex_id, side, 'openings' as vocab, cast(s as int) as s, cast(e as int) as e from found"
+
+
+@_query("kt_turn_matches", f"{_TURN_MATCHES} {_FOUND_TURNS}")
+def kt_turn_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of terms of several lengths, of which the longer ones hold shorter ones."""
+    return turns_with_terms(spark, sf_dir).key_term_matches("openings", _KEY_TERM)
+
+
+@_query("kt_turn_matches_subset", f"{_TURN_SUBSETS} {_FOUND_TURNS}")
+def kt_turn_matches_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns_with_terms(spark, sf_dir).key_term_matches("openings", _KEY_TERM, allow_subset_matches=True)
+
+
+_TURN_KT = f"{_TURN_MATCHES}, stats as ({oracle.term_stats()})"
+_metric("kt_turn_stats", turns_with_terms, "_kt_stats", f"{_TURN_KT} select * from stats", f"{_TURN_KT} select {_sums(*_KT_NAMES)} from stats", vocab="openings")
+for _name in ("kter", "ktr", "ktp", "ktf_b2"):
+    _expr, _params = _SCORES[_name]
+    _metric(f"{_name}_turns", turns_with_terms, _name.split("_")[0], None, f"{_TURN_KT} select cast({_expr} as double) as value from (select {_sums(*_KT_NAMES)} from stats)", rows=False, vocab="openings", **_params)
+for _name in ("rktr", "ktcer"):
+    _metric(f"{_name}_turns", turns_with_terms, _name, rows=False, vocab="openings")
+
+
 # --- framework, sources and reports ---------------------------------------------------------------------------------
 @_query("metric_catalog")
 def metric_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,12 +611,12 @@ def dataset_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir).pairs.agg(F.count("*").alias("n_examples"), F.sum(F.length("ref")).alias("ref_chars"), F.sum(F.length("hyp")).alias("hyp_chars"))
 
 
-@_query("load_table", "select a.conv_id * 1000 + a.turn as ex_id, a.text as ref, a.role as hyp, a.role as own_term from conversations a where a.text is not null and a.role is not null")
+@_query("load_table", "select a.conv_id * 1000000 + a.turn as ex_id, a.text as ref, a.role as hyp, a.role as own_term from conversations a where a.text is not null and a.role is not null")
 def load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any table as pairs, with a column of key terms."""
     from ..sources.readers import from_dataframe
 
-    rows = _read(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = _read(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000000 + F.col("turn"))
     d = from_dataframe(rows, "text", "role", ["role"], "id", nulls="drop")
     return d.pairs.select("ex_id", "ref", "hyp", F.get(F.element_at("key_terms", F.lit("role")), F.lit(0)).alias("own_term"))
 

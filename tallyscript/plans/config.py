@@ -13,6 +13,7 @@ from pyspark.sql import Column
 
 from ..functions import text as T
 from ..functions import tokens as K
+from ..functions.sequences import let
 from ..functions.text import Normalizer, Step
 from ..functions.tokens import Tokenizer
 
@@ -116,7 +117,7 @@ def tokenizer(name: str, spec: dict) -> Tokenizer:
     if fn_name in K.PATTERNS:
         return fn(**kwargs, name=name)
     made = fn(**kwargs)
-    return made if isinstance(made, Tokenizer) else Tokenizer(name, str(made), r"\s\S")
+    return made if isinstance(made, Tokenizer) else Tokenizer(name, str(made))
 
 
 @dataclass
@@ -137,8 +138,11 @@ class Pipelines:
         )
 
     def register(self, kind: str, name: str, what: Normalizer | Tokenizer | Callable) -> None:
-        """kind: standardizers, tokenizers or normalizers. A plain function of a string becomes one step."""
+        """kind: standardizers, tokenizers or normalizers. A plain function of a string becomes one step, and a pattern a
+        tokenizer."""
         own = getattr(self, kind)
+        if kind == "tokenizers" and not isinstance(what, Tokenizer):
+            what = Tokenizer(name, str(what() if callable(what) else what))
         if kind != "tokenizers" and not isinstance(what, Normalizer):
             what = Normalizer(name, (T.python_step(name, what),))
         own[name] = what
@@ -163,8 +167,14 @@ def tokens(pipelines: Pipelines, key: PipelineKey, text: Column) -> Column:
 
     standard = pipelines.pick("standardizers", key.standardizer)(text)
     spans = pipelines.pick("tokenizers", key.tokenizer).spans(standard)
-    norm = pipelines.pick("normalizers", key.normalizer).over(F.transform(spans, lambda t: t["raw"]))
-    return F.zip_with(spans, norm, lambda t, n: F.struct(t["idx"].alias("idx"), t["start"].alias("start"), t["end"].alias("end"), t["raw"].alias("raw"), n.alias("norm")))
+    normalizer = pipelines.pick("normalizers", key.normalizer)
+
+    def whole(spans: Column) -> Column:
+        norm = normalizer.over(F.transform(spans, lambda t: t["raw"]))
+        return F.zip_with(spans, norm, lambda t, n: F.struct(t["idx"].alias("idx"), t["start"].alias("start"), t["end"].alias("end"), t["raw"].alias("raw"), n.alias("norm")))
+
+    # Python has no place inside a lambda, which is what computes the spans once.
+    return let(spans, whole) if all(s.builtin for s in normalizer.steps) else whole(spans)
 
 
 def strings(pipelines: Pipelines, key: PipelineKey, text: Column, normalized: bool = True) -> Column:

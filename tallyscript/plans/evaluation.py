@@ -45,6 +45,11 @@ class EvalSet:
     def _with(self, pairs: DataFrame, vocab: DataFrame, names: frozenset[str]) -> EvalSet:
         return EvalSet(pairs, vocab, config=self.config, language=self.language, nulls=self.nulls, pipelines=self.pipelines, names=names)
 
+    def balanced(self) -> EvalSet:
+        """The same examples, spread evenly over as many tasks as the session's shuffles have: for long texts in few files."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self._with(self.pairs.repartition(n, "ex_id"), self.own_vocab, self.names)
+
     def add(self, ref: str, hyp: str, key_terms: dict[str, Iterable[str]] | None = None, ex_id: int | None = None) -> EvalSet:
         """One more example, numbered after the others unless ex_id is given."""
         at = self.pairs.agg(F.coalesce(F.max("ex_id"), F.lit(-1))).first()[0] + 1 if ex_id is None else ex_id
@@ -85,7 +90,7 @@ class EvalSet:
         if name in self.names:
             return
         if not self.pairs.where(F.map_contains_key(F.coalesce("key_terms", F.create_map().cast("map<string,array<string>>")), F.lit(name))).head(1) and not self.own_vocab.where(F.col("vocab") == name).head(1):
-            raise ValueError(f"Vocabulary '{name}' not found in dataset key term vocabularies.")
+            raise ValueError(f"there is no vocabulary {name!r}; common ones are: {', '.join(sorted(self.names)) or 'none'}")
 
     def vocabs_by_example(self) -> DataFrame:
         """(ex_id, vocabs): the names of an example's own vocabularies and the common ones."""

@@ -130,13 +130,17 @@ class KeyTerms(MetricParams):
 
 
 def _segments(metric: Metric, kind: str, sides: str) -> DataFrame:
-    """(ex_id, side, ops) of the matches: only examples that have one are aligned."""
+    """(ex_id, m, segment): the operations of each match. Only examples that have one are aligned, and where their tokens'
+    operations are is found once per example."""
     p, d = metric.params, metric.dataset
     found = d.key_term_matches(p.vocab, metric.key, normalized=p.normalized, allow_subset_matches=p.allow_subset_matches, only_local_matches=p.only_local_matches)
     by = found.where(F.col("side").isin(*sides.split())).groupBy("ex_id").agg(F.collect_list(F.struct("side", "s", "e")).alias("spans"))
     make = {"levenshtein": A.edit_script, "error_align": A.compound_align}[kind]
     ops = d.tokenized(metric.key).join(by, "ex_id").select("ex_id", "spans", make(F.col("ref"), F.col("hyp"), p.normalized).alias("ops"))
-    return ops.select("ex_id", "ops", F.explode("spans").alias("m"))
+    at = {s: A.places(F.col("ops"), s).alias(f"at_{s}") for s in sides.split()}
+    each = ops.select("ex_id", "ops", *at.values(), F.explode("spans").alias("m"))
+    own = F.when(F.col("m.side") == "ref", F.col("at_ref")).otherwise(F.col("at_hyp")) if len(at) > 1 else F.col(f"at_{sides}")
+    return each.select("ex_id", "m", A.segment(F.col("ops"), own, F.col("m.s"), F.col("m.e")).alias("segment"))
 
 
 @METRICS.register("_kt_stats", tokenizer="key_term")
@@ -149,8 +153,7 @@ class KeyTermStats(Metric):
 
     def rows(self) -> DataFrame:
         seg = _segments(self, "levenshtein", "ref hyp")
-        part = F.when(F.col("m.side") == "ref", A.segment(F.col("ops"), F.col("m.s"), F.col("m.e"))).otherwise(A.segment(F.col("ops"), F.col("m.s"), F.col("m.e"), "hyp"))
-        judged = seg.select("ex_id", F.col("m.side").alias("side"), F.exists(part, lambda o: o["type"] != A.MATCH).alias("bad"))
+        judged = seg.select("ex_id", F.col("m.side").alias("side"), F.exists("segment", lambda o: o["type"] != A.MATCH).alias("bad"))
         ref, bad = F.col("side") == "ref", F.col("bad")
         n = lambda c: F.count_if(c)
         counted = judged.groupBy("ex_id").agg(n(ref).alias("num_ref_terms"), n(~ref).alias("num_hyp_terms"), n(ref & ~bad).alias("num_tp"), n(ref & bad).alias("num_fn"), n(~ref & bad).alias("num_fp"))
@@ -249,8 +252,7 @@ class RelaxedStats(Metric):
 
     def rows(self) -> DataFrame:
         seg = _segments(self, "error_align", "ref")
-        part = seg.select("ex_id", A.segment(F.col("ops"), F.col("m.s"), F.col("m.e")).alias("segment"))
-        texts = part.select("ex_id", "segment", A.joined_side(F.col("segment"), "ref").alias("r"), A.joined_side(F.col("segment"), "hyp").alias("h"))
+        texts = seg.select("ex_id", "segment", A.joined_side(F.col("segment"), "ref").alias("r"), A.joined_side(F.col("segment"), "hyp").alias("h"))
         partial = F.get("segment", F.lit(0))["hyp_lp"].cast("long") + F.element_at("segment", -1)["hyp_rp"].cast("long")
         stats = texts.select("ex_id", F.struct((char_distance(F.col("r"), F.col("h")) + F.coalesce(partial, F.lit(0))).alias("char_edits"), F.length("r").cast("long").alias("ref_chars"), F.col("segment").alias("segment")).alias("stat"))
         by = stats.groupBy("ex_id").agg(F.collect_list("stat").alias("term_stats"))
@@ -380,7 +382,7 @@ class KeywordAggregator(Metric):
     vocab = "medical_terms"
     _names = ("match_count", "relaxed_match_count", "total_terms", "total_length", "total_distance")
     example_values = (*map(Value, _names), Value("correct_terms"), Value("cer_keyword"))
-    values = (*map(Value, _names), Value("correct_terms"))
+    values = tuple(map(Value, _names))
 
     def rows(self) -> DataFrame:
         d, key = self.dataset, self.key
@@ -408,8 +410,11 @@ class KeywordAggregator(Metric):
         return rows.withColumn("cer_keyword", ratio(F.col("total_distance"), F.col("total_length"), 0.0))
 
     def aggregates(self) -> dict[str, Column]:
-        listed = F.transform(F.array_sort(F.collect_list(F.when(F.size("correct_terms") > 0, F.struct("ex_id", "correct_terms")))), lambda x: x["correct_terms"])
-        return {**{n: _sum(n) for n in self._names}, "correct_terms": F.flatten(listed)}
+        return {n: _sum(n) for n in self._names}
+
+    def correct_terms(self) -> DataFrame:
+        """(ex_id, place, term): the whole set's correct terms, a row each, as there may be any number of them."""
+        return self.examples().select("ex_id", F.posexplode("correct_terms").alias("place", "term"))
 
 
 class _KeywordScore(Metric):

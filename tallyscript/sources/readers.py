@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import ast
+import atexit
+import re
+import shutil
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +51,22 @@ def term_column(df: DataFrame, name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.array(name))
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("rows without an id column are numbered in a checkpoint; spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tallyscript-")
+            atexit.register(shutil.rmtree, base, True)
+        context.setCheckpointDir(base)
+    return df.withColumn(name, F.monotonically_increasing_id()).checkpoint()
+
+
 def from_dataframe(df: DataFrame, ref_col: str = "ref", hyp_col: str = "hyp", key_term_cols: list[str] | None = None, id_col: str | None = None, **options) -> EvalSet:
-    """Pairs of any DataFrame. Without `id_col` rows get ids in the order in which Spark reads them."""
+    """Pairs of any DataFrame. Without `id_col` rows are numbered once and kept, numbers and all, as a checkpoint: numbers
+    that are given again on each run would differ if the rows came in another order."""
     for c in (ref_col, hyp_col, *(key_term_cols or [])):
         if c not in df.columns:
             raise ValueError(f"there is no column '{c}'; there are: {', '.join(df.columns)}")
@@ -57,8 +75,12 @@ def from_dataframe(df: DataFrame, ref_col: str = "ref", hyp_col: str = "hyp", ke
     if names:
         entries = F.array(*(F.struct(F.lit(n), F.array_distinct(F.coalesce(term_column(df, n), F.array().cast("array<string>")))) for n in names))
         terms = F.map_from_entries(F.filter(entries, lambda e: F.size(e["col2"]) > 0))
-    index = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
-    pairs = df.select(index.alias("ex_id"), F.col(ref_col).cast("string").alias("ref"), F.col(hyp_col).cast("string").alias("hyp"), terms.alias("key_terms"))
+    if not id_col:
+        id_col = "ex_id"
+        while id_col.lower() in {c.lower() for c in df.columns}:
+            id_col += "_"
+        df = _numbered(df, id_col)
+    pairs = df.select(F.col(id_col).cast("long").alias("ex_id"), F.col(ref_col).cast("string").alias("ref"), F.col(hyp_col).cast("string").alias("hyp"), terms.alias("key_terms"))
     return EvalSet(pairs, names=frozenset(names), **options)
 
 
@@ -97,8 +119,9 @@ def from_dataset(*_args, **_kwargs) -> EvalSet:
 
 
 def read_terms(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(vocab, term): a term per line of a text file. Lines aren't stripped; empty ones at the file's ends are left out."""
+    """(vocab, term): a term per line of a text file. Lines aren't stripped. Empty ones are terms without a token, which
+    occur nowhere; one that ends the file isn't a line."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         raise FileNotFoundError(path)
-    return spark.read.text(path).where("trim(value) <> ''").select(F.lit(name).alias("vocab"), F.col("value").alias("term")).distinct()
+    return spark.read.text(path).select(F.lit(name).alias("vocab"), F.col("value").alias("term")).distinct()

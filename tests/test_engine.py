@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyscript.functions import sequences, text, tokens
 from tallyscript.operators import align
-from tallyscript.operators.distance import rows as last_row
-from tallyscript.operators.distance import token_distance
+from tallyscript.operators.distance import distances, token_distance
 from tallyscript.plans import config
 from tallyscript.plans.config import PipelineKey
 from tallyscript.plans.evaluation import EvalSet
@@ -103,21 +102,69 @@ def test_sequences(spark):
     assert row["gj"] == ["The quick", "quick brown", "brown the"] and row["i"] == [0, 3] and row["c"] == "...e [quick], ..."
 
 
+def table(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_kept_columns_change_nothing(monkeypatch):
+    rnd = random.Random(8)
+    given = [([rnd.randrange(4) for _ in range(rnd.randrange(30))], [rnd.randrange(4) for _ in range(rnd.randrange(30))]) for _ in range(200)]
+    whole = [align.script(*x) for x in given]
+    monkeypatch.setattr(align, "KEPT", 3)
+    assert [align.script(*x) for x in given] == whole
+
+
+def test_all_distances():
+    rnd = random.Random(9)
+    a, b = (["".join(rnd.choice("abcé") for _ in range(rnd.randrange(n))) for _ in range(25)] for n in (9, 12))
+    found = distances(a, b)
+    assert all(found[i, j] == table(x, y) for i, x in enumerate(a) for j, y in enumerate(b))
+
+
+def test_user_tokenizers_keep_gaps(spark):
+    own = config.tokenizer("own", {f"{__name__}.word_pattern": None})
+    live = config.Pipelines.of(config.load_config())
+    live.register("tokenizers", "default", word_pattern)
+    df = spark.createDataFrame([("  ab, cd\n\nef!",), ("",), (None,), ("..",)], "t string")
+    spans = [None if r[0] is None else [(t["raw"], t["start"], t["end"]) for t in r[0]] for r in df.select(own.spans(F.col("t"))).collect()]
+    assert spans == [[("ab", 2, 4), ("cd", 6, 8), ("ef", 10, 12)], [], None, []]
+    assert df.select(sequences.joined(config.tokens(live, config.PipelineKey(), F.col("t")))).first()[0] == "ab cd ef"
+
+
+def word_pattern():
+    return r"(\w)\w*"
+
+
+def test_noncharacters_in_tokens(spark):
+    p = config.Pipelines.of(config.load_config())
+    df = spark.createDataFrame([(["A\uffffB", "É"],), (["Ab", "«œ"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(p.normalizers["default"].over(F.col("t"))).collect()] == [["a\uffffb", "e"], ["ab", "<<oe"], [], None]
+
+
+def test_compounds_of_many_parts():
+    assert [x[:3] for x in align.compound_script(list("abcdefg"), ["abcdefg", "x"])] == [*((align.MATCH, i, 0) for i in range(7)), (align.INSERT, None, 1)]
+
+
 def test_distance_and_script_against_dynamic_program(spark):
     rnd = random.Random(1)
     given = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 9))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]) for _ in range(120)]
     df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(given)], "i long, r array<string>, h array<string>")
-    for alphabet in (27_000, 2):
-        found = {x["i"]: x["d"] for x in df.select("i", token_distance(F.col("r"), F.col("h"), alphabet).alias("d")).collect()}
-        assert all(found[i] == last_row(r, h)[-1] for i, (r, h) in enumerate(given))
+    found = {x["i"]: x["d"] for x in df.select("i", token_distance(F.col("r"), F.col("h")).alias("d")).collect()}
+    assert all(found[i] == table(r, h) for i, (r, h) in enumerate(given))
     for r, h in given:
-        s = align.script(r, h)
-        assert sum(t != align.MATCH for t, _, _ in s) == last_row(r, h)[-1]
-        assert [i for t, i, _ in s if t != align.INSERT] == list(range(len(r))) and [j for t, _, j in s if t != align.DELETE] == list(range(len(h)))
-        assert all(r[i] == h[j] for t, i, j in s if t == align.MATCH)
+        kinds, at_ref, at_hyp = align.script(r, h)
+        assert sum(k != 0 for k in kinds) == table(r, h)
+        assert [r[i] for k, i in zip(kinds, at_ref) if k != 1] == r and [h[j] for k, j in zip(kinds, at_hyp) if k != 2] == h
+        assert all(r[i] == h[j] for k, i, j in zip(kinds, at_ref, at_hyp) if k == 0)
         c = align.compound_script(r, h)
         assert [x[1] for x in c if x[1] is not None] == list(range(len(r)))
-    assert [t for t, _, _ in align.script(["a", "b"], ["b", "a"])] == [align.INSERT, align.MATCH, align.DELETE]
+    assert align.script(["a", "b"], ["b", "a"])[0] == [1, 0, 2]
 
 
 def test_alignment_algebra(spark):
@@ -158,7 +205,7 @@ def test_local_terms(spark):
     assert spans() == spans(only_local_matches=True) == [(0, 2, 3), (1, 1, 2)]
     assert spans(only_local_matches=True, strict_local=True) == [(1, 1, 2)]
     assert [tuple(r) for r in d.key_terms_not_found("v").collect()] == [(1, "v", "zebra")]
-    with pytest.raises(ValueError, match="Vocabulary 'w' not found"):
+    with pytest.raises(ValueError, match="no vocabulary 'w'"):
         d.metrics.ktr(vocab="w")
 
 
@@ -189,13 +236,13 @@ def test_framework(spark, sample):
     METRICS.register("own_metric", allow_override=True, factor=2)(Own)
     m = sample.metrics.own_metric(share=1)
     assert m.value == 102 and m.short_name == "Own (factor=2, share=1)" and Own.metric_values() == {"main": "value", "other": []}
-    with pytest.raises(ValueError, match="already registered"):
+    with pytest.raises(ValueError, match="there is a metric"):
         METRICS.register_metric(Own, "own_metric")
-    with pytest.raises(ValueError, match="Unknown parameter"):
+    with pytest.raises(ValueError, match="no parameter is called"):
         sample.metrics.own_metric(x=1)
-    with pytest.raises(TypeError, match="must be int"):
+    with pytest.raises(TypeError, match="has to be of type int"):
         sample.metrics.own_metric(factor="2")
-    with pytest.raises(ValueError, match="Missing required"):
+    with pytest.raises(ValueError, match="needs a value"):
         sample.metrics.ktr()
     with pytest.raises(AttributeError, match="not found"):
         sample.metrics.nothing
