@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyscript.llm import bpe, chat, jaccard, labelled, packing, pii, quality, toxicity, warc
-from tallyscript.llm.vectors import matrix
+from tallyscript.llm.vectors import matrices, stacked
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -78,8 +78,7 @@ def test_parts_are_flattened_in_order():
     assert text == "a<\\|end|><|image|><|audio|><|document|>"
     assert [(a["kind"], a["position"], a["tokens"]) for a in attached] == [("image", 0, 3 * 144), ("audio", 1, 50), ("document", 2, 3 * 512)]
     assert chat.flatten(None) == ("", [])
-    with pytest.raises(ValueError, match="unknown content part"):
-        chat.flatten([{"type": "video"}])
+    assert chat.flatten([{"type": "video", "ref": "r"}]) == ("<|unknown|>", [{"kind": "unknown", "position": 0, "ref": "r", "tokens": 0}])
 
 
 def test_bpe_is_that_of_the_rank_file():
@@ -165,9 +164,20 @@ def test_non_negative_risk_separates():
     assert rng is not None and labelled.FOLDS == 5
 
 
-def test_matrix_leaves_out_unusable_vectors():
+def test_matrices_leave_out_unusable_vectors():
     import pyarrow as pa
 
-    rows, v = matrix(pa.array([[1.0, 2.0], None, [0.0, 0.0], [1.0, None], [1.0, float("inf")], [], [3.0, 4.0], [1.0]], pa.list_(pa.float64())))
-    assert rows.tolist() == [0, 6] and v.tolist() == [[1.0, 2.0], [3.0, 4.0]]
-    assert matrix(pa.array([], pa.list_(pa.float64())))[1].shape == (0, 0)
+    given = [[1.0, 2.0], None, [0.0, 0.0], [1.0, None], [1.0, float("inf")], [], [3.0, 4.0], [1.0]]
+    found = {v.shape[1]: (rows.tolist(), v.tolist()) for rows, v in matrices(pa.array(given, pa.list_(pa.float64())))}
+    assert found == {1: ([7], [[1.0]]), 2: ([0, 6], [[1.0, 2.0], [3.0, 4.0]])}
+    assert list(matrices(pa.array([], pa.list_(pa.float64())))) == []
+    assert stacked([np.ones(2).tobytes(), np.ones(1).tobytes()]).tolist() == [[1.0, 1.0], [1.0, 0.0]]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(21)
+    features = lambda good: np.stack([np.where(good, rng.integers(0, 6, len(good)), rng.integers(4, 10, len(good))) + 10 * j for j in range(4)], axis=1)
+    positive = features(np.ones(4000, bool))
+    unlabelled = features(rng.random(6000) < share)
+    assert abs(quality.prior_of(positive, unlabelled) - share) < 0.05
