@@ -465,7 +465,7 @@ def alignment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("error_align_ops")
 def error_align_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The compound aligner is our own, with costs that no SQL restates; the tests compare it with a brute force."""
+    """The compound aligner is our own, with costs that no SQL restates."""
     return conversations(spark, sf_dir).metrics.error_align().examples().drop("alignment")
 
 
