@@ -23,7 +23,8 @@ within the radius r = 1 - threshold:
 * **Verification** is exact, on whole sets of 64-bit shingle hashes, in integers. A linked pair counts in the region of
   the smaller of its two home pivots alone. Sets are told apart by 128-bit prints.
 
-Copies: equal sets are one class with a multiplicity, so they cost one comparison.
+Copies: equal sets are one class with a multiplicity, so they cost one comparison. Only the texts of sets that share a part
+are shuffled, one for each class, and a few others that the sieve lets pass.
 
 Nulls and empty texts have an empty set, link with nothing and are their own component. Rows that repeat a
 doc_id are documents of their own and give a row each; so are rows without a doc_id, which link as any others do: the
@@ -54,6 +55,8 @@ LIGHT = 3
 SALT_ROWS = 4096
 #: A region whose own regions hold more than this share of its pairs doesn't shrink.
 SHRINK = 0.5
+#: The sieve of texts has at most two to this power words of 64 bits.
+SIEVE_BITS = 20
 
 
 class _Words(dict):
@@ -215,26 +218,32 @@ def _nominees(scan: DataFrame) -> DataFrame:
     return out.withColumnRenamed("first", "m")
 
 
+def _texts(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """(rid, text), once each, of the rows of docs whose rid is among rids, and of a few others: those whose first bits and
+    last six are also one's of rids. A table of the bits in use, of bounded size, goes to all tasks; other texts stay
+    where they are."""
+    bits = min(SIEVE_BITS, max(1, rids.count().bit_length()))
+    word = F.shiftrightunsigned("rid", 64 - bits).alias("word")
+    one = F.expr("shiftleft(1L, cast(rid & 63 as int))")
+    sieve = rids.groupBy(word).agg(F.bit_or(one).alias("ones"))
+    near = docs.select("rid", "text", word).join(F.broadcast(sieve), "word").where(F.col("ones").bitwiseAND(one) != 0)
+    return near.groupBy("rid").agg(F.collect_set("text").alias("texts")).select("rid", F.explode("texts").alias("text"))
+
+
 def _sets(k: int):
-    """Rows (node, hi, lo, mult, text) to (node, lo, mult, items); rows whose text has another print are dropped."""
+    """Rows (node, hi, lo, mult, asks, text) to (node, mult, asks, items); rows whose text has another print are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in text_batches(batches):
-            node, hi, lo = (b.column(i).to_pylist() for i in range(3))
+            hi, lo = (b.column(i).to_pylist() for i in (1, 2))
             keep, out = [], []
-            for i, text in enumerate(b.column(4).to_pylist()):
-                if node[i] in seen:
-                    continue
+            for i, text in enumerate(b.column(5).to_pylist()):
                 s = shingles(text, k)
                 if len(s) and _print(s) == (hi[i], lo[i]):
-                    if len(seen) >= _VOCABULARY:
-                        seen.clear()
-                    seen.add(node[i])
                     keep.append(i)
                     out.append(s.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in (0, 2, 3)), pa.array(out, pa.binary())], ["node", "lo", "mult", "items"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in (0, 3, 4)), pa.array(out, pa.binary())], ["node", "mult", "asks", "items"])
 
     return run
 
@@ -279,18 +288,23 @@ def _within(items: bool):
     return run
 
 
-def measured(pairs: DataFrame, sets: DataFrame, items: bool) -> DataFrame:
-    """pairs (p, x, reach, home) of pivots and sets, as far as their distance is within the reach: p, node, far, home,
-    mult and perhaps items. The members of a pivot are spread over as many tasks as they need."""
+def requests(pairs: DataFrame) -> DataFrame:
+    """pairs (p, x, reach, home) of pivots and sets, as rows (node, p, salt, x, reach, home) for each set that a task needs:
+    the members of a pivot are spread over as many tasks as they take, and the pivot (x null) goes to each of these."""
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     n = pairs.groupBy("p").agg(F.count("*").alias("n")).withColumn("salts", salts).drop("n")
-    own = n.join(sets.select(F.col("node").alias("p"), "items"), "p").select(
-        "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"),
-        F.lit(0.0).alias("reach"), F.lit(None).cast("long").alias("home"), F.lit(0).cast("long").alias("mult"), "items",
+    own = n.select(
+        F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"),
+        F.lit(0.0).alias("reach"), F.lit(None).cast("long").alias("home"),
     )
     rows = pairs.join(n, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
-    rows = rows.join(sets.select(F.col("node").alias("x"), "mult", "items"), "x").select(*own.columns)
-    rows = own.unionByName(rows).repartition("p", "salt").sortWithinPartitions("p", "salt", "x")
+    return own.unionByName(rows.withColumn("node", F.col("x")).select(*own.columns))
+
+
+def measured(asked: DataFrame, items: bool) -> DataFrame:
+    """Requests with mult and items of their sets, as far as the distance is within the reach: p, node, far, home, mult and
+    perhaps items."""
+    rows = asked.select("p", "salt", "x", "reach", "home", "mult", "items").repartition("p", "salt").sortWithinPartitions("p", "salt", "x")
     return rows.mapInArrow(_within(items), "p long, node long, far double, home long, mult long" + (", items binary" if items else ""))
 
 
@@ -459,17 +473,16 @@ def _recursion(sets: DataFrame, num: int, den: int, region_rows: int, pivots: in
 def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, rid, text): what the scan says of each row, and of each set hi, lo, n_similar and component."""
     radius = 1 - num / den
-    scan = stored(docs.mapInArrow(_scan(num, den, k), "doc_id long, rid long, n long, hi long, lo long, keys array<long>"))
+    keyed = stored(docs.mapInArrow(_scan(num, den, k), "doc_id long, rid long, n long, hi long, lo long, keys array<long>"))
+    nominees = _nominees(keyed)
+    scan = stored(keyed.drop("keys"))
+    dropped(keyed)
     classes = scan.where("n > 0").groupBy("hi", "lo").agg(F.min("rid").alias("rid"), F.count("*").alias("mult"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    nominees = _nominees(scan)
-    chosen = classes.join(nominees.select("lo"), "lo", "left_semi").select("rid", "node", "hi", "lo", "mult")
-    texts = docs.select("rid", "text").join(chosen, "rid").select("node", "hi", "lo", "mult", "text")
-    sets = texts.mapInArrow(_sets(k), "node long, lo long, mult long, items binary")
-    sets = stored(sets.groupBy("node", "lo", "mult").agg(F.first("items").alias("items")))
+    chosen = stored(classes.join(nominees.select("lo"), "lo", "left_semi").select("rid", "node", "hi", "lo", "mult"))
 
-    # Each set's home pivot.
-    ids = sets.select("node", "lo")
+    # Which candidates a set asks to be its home pivot.
+    ids = chosen.select("node", "lo")
     up = nominees.where("m is not null")
     chain = up.withColumn("top", F.col("m"))
     for _ in range(3):  # eight steps up, towards the smallest print of a family
@@ -477,18 +490,30 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivot
     asked = chain.select("lo", F.explode(F.array_distinct(F.array("top", "m"))).alias("asked"), "top")
     asked = asked.join(ids.withColumnRenamed("node", "x"), "lo").select("x", F.col("asked").alias("lo"), (F.col("asked") != F.col("top")).alias("second")).join(ids.withColumnRenamed("node", "p"), "lo").where("x <> p")
     asked = stored(asked.select("p", "x", F.lit(COVER).alias("reach"), F.col("second").cast("long").alias("home")))
-    found = measured(asked, sets, False).groupBy("node").agg(F.min(F.struct(F.col("home").alias("second"), "far", "p")).alias("best"))
+    asks = requests(asked).groupBy("node").agg(F.collect_list(F.struct("p", "salt", "x", "reach", "home")).alias("asks"))
+
+    # The sets, each with what is asked of it.
+    needed = chosen.join(asks, "node", "left").select("rid", "node", "hi", "lo", "mult", "asks")
+    texts = _texts(docs, chosen.select("rid")).join(needed, "rid").select("node", "hi", "lo", "mult", "asks", "text")
+    sets = stored(texts.mapInArrow(_sets(k), "node long, mult long, asks array<struct<p:long,salt:int,x:long,reach:double,home:long>>, items binary"))
+    for done in (nominees, asked):
+        dropped(done)
+
+    # Each set's home pivot.
+    found = measured(sets.select(F.inline("asks"), "mult", "items"), False).groupBy("node").agg(F.min(F.struct(F.col("home").alias("second"), "far", "p")).alias("best"))
     homes = ids.select("node").join(found, "node", "left")
     homes = stored(homes.select("node", F.coalesce("best.p", "node").alias("home"), F.coalesce("best.far", F.lit(0.0)).alias("far")))
     reach = homes.groupBy("home").agg(F.max("far").alias("reach"))
+    sets = sets.drop("asks")
 
     # Which regions a set may belong to: the homes of all sets that it shares a part with.
     parts = stored(sets.select("node", "items").mapInArrow(_keys(num, den), "node long, keys array<long>").select("node", F.explode("keys").alias("key")).join(homes.select("node", "home"), "node"))
     there = parts.select("key", "home").distinct()
-    visits = parts.select("key", "node").join(there, "key").select("node", "home").distinct()
-    counts = stored(visits.groupBy("home").agg(F.count("*").alias("rows")).where("rows > 1"))
-    visits = stored(visits.join(counts, "home").join(reach, "home").join(homes.select("node", F.col("home").alias("own")), "node"))
+    met = stored(parts.select("key", "node").join(there, "key").select("node", "home").distinct())
     dropped(parts)
+    counts = met.groupBy("home").agg(F.count("*").alias("rows")).where("rows > 1")
+    visits = stored(met.join(counts, "home").join(reach, "home").join(homes.select("node", F.col("home").alias("own")), "node"))
+    dropped(met)
     size = (F.octet_length("items") / 8).cast("long").alias("size")
     small = visits.where(F.col("rows") <= region_rows).join(sets, "node").select(
         F.array("home").alias("path"), F.array(F.lit(0), F.lit(0)).alias("pair"), F.lit(0).alias("block"), F.array("own").alias("homes"), "node", "mult", size, "reach", "items"
@@ -496,17 +521,20 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, region_rows: int, pivot
     large = visits.where(F.col("rows") > region_rows)
     every = small
     if large.head(1):
-        near = measured(large.select(F.col("home").alias("p"), F.col("node").alias("x"), (F.col("reach") + radius).alias("reach"), F.col("own").alias("home")), sets, True)
+        asked = requests(large.select(F.col("home").alias("p"), F.col("node").alias("x"), (F.col("reach") + radius).alias("reach"), F.col("own").alias("home")))
+        near = measured(asked.join(sets, "node"), True)
         near = stored(near.select(F.array("p").alias("path"), F.array("home").alias("homes"), "node", "mult", size, "items"))
         for r in _recursion(near, num, den, region_rows, pivots):
             every = every.unionByName(r)
     every = every.repartition("path", "pair").sortWithinPartitions("path", "pair")
     links = stored(every.mapInArrow(_verify(num, den), "node long, added long, root long"))
+    for done in (chosen, sets, homes, visits):
+        dropped(done)
     added = links.groupBy("node").agg(F.sum("added").alias("added"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.join(added, "node", "left").join(groups, "node", "left")
     known = known.select("hi", "lo", (F.col("mult") - 1 + F.coalesce("added", F.lit(0))).alias("n_similar"), F.coalesce("component", "node").alias("component"))
-    return scan.drop("keys"), stored(known)
+    return scan, stored(known)
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

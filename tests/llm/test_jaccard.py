@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tallyscript.llm import jaccard
+from tallyscript.llm import jaccard, shared
 
 from .test_operators import documents, rows
 
@@ -90,6 +90,45 @@ def test_few_regions_hold_a_family(spark):
     assert len(rows(asked)) < 60
 
 
+def shuffled(spark):
+    """Bytes that the stages so far wrote for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_that_share_a_part_are_moved(spark, tmp_path, monkeypatch):
+    """Texts that can't have a link stay where they are, and the parts' keys don't stay on disk."""
+    rnd = random.Random(11)
+    word = lambda: rnd.randbytes(500).hex()
+    given = [(i, " ".join(word() for _ in range(20))) for i in range(300)]
+    given += [(1000 + i, given[0][1]) for i in range(2)]
+    docs = documents(spark, given)
+    before = shuffled(spark)
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}/{rnd.randbytes(8).hex()}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        out = found(jaccard.similar(docs))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stored = [spark.read.parquet(f"file://{p}").columns for p in tmp_path.iterdir()]
+    assert out == sorted([(i, 16, 0, i) for i in range(1, 300)] + [(i, 16, 2, 0) for i in (0, 1000, 1001)], key=repr)
+    assert shuffled(spark) - before < sum(len(t) for _, t in given) / 10
+    assert stored and not any({"keys", "items"} & {*c} for c in stored)
+
+
+def test_texts_by_number(spark):
+    """All of the rows asked for and each text once, whatever the numbers; few others."""
+    rnd = random.Random(3)
+    numbers = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(4000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    docs = spark.createDataFrame([(n, f"t{n}") for n in numbers] + [(0, "other"), (0, "t0")], "rid long, text string")
+    for some in (numbers[-4:], numbers[::40], numbers):
+        got = [(r["rid"], r["text"]) for r in rows(jaccard._texts(docs, spark.createDataFrame([(n,) for n in some], "rid long")))]
+        assert len(got) == len(set(got)) <= len(some) + 1 + 0.05 * len(numbers)
+        assert set(got) >= {(n, f"t{n}") for n in some} | ({(0, "other")} if 0 in some else set())
+    assert rows(jaccard._texts(docs, spark.createDataFrame([], "rid long"))) == []
+
+
 def test_light_parts_are_left_out():
     import numpy as np
 
