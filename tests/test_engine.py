@@ -301,3 +301,61 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def slow_compound(ref, hyp):
+    """Costs of the compound alignment, cell by cell."""
+    n, m = len(ref), len(hyp)
+    cost = [[float(j) for j in range(m + 1)]] + [[float(i)] + [0.0] * m for i in range(1, n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            a, b = ref[i - 1], hyp[j - 1]
+            best = [cost[i - 1][j - 1] + (0.0 if a == b else 0.5 + 0.5 * table(a, b) / max(len(a), len(b))), cost[i - 1][j] + 1, cost[i][j - 1] + 1]
+            for k in range(2, i + 1):
+                joined = "".join(ref[i - k : i])
+                if (u := table(joined, b) / max(len(joined), len(b))) <= align.MOST_UNLIKE:
+                    best.append(cost[i - k][j - 1] + 0.5 + u)
+            cost[i][j] = min(best)
+    return cost[n][m]
+
+
+def cost_of(script, ref, hyp):
+    """What a script costs: pieces of one hyp token are one compound."""
+    total, at = 0.0, 0
+    while at < len(script):
+        kind, i, j, s, e, left, right = script[at]
+        if right and not left:
+            stop = next(k for k in range(at, len(script)) if script[k][2] == j and not script[k][6])
+            joined = "".join(ref[x[1]] for x in script[at : stop + 1])
+            total, at = total + 0.5 + table(joined, hyp[j]) / max(len(joined), len(hyp[j])), stop + 1
+            continue
+        total += 1 if kind in (align.INSERT, align.DELETE) else 0.0 if kind == align.MATCH else 0.5 + 0.5 * table(ref[i], hyp[j]) / max(len(ref[i]), len(hyp[j]))
+        at += 1
+    return total
+
+
+def test_compounds_of_many_pairs_at_once(monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.choice([1, 2, 3, 4, 6])))
+    given = []
+    for _ in range(150):
+        ref = [word() for _ in range(rnd.randrange(1, 8))]
+        hyp = ["".join(ref[i : i + rnd.choice([1, 1, 2, 3])]) if rnd.random() < 0.7 else word() for i in range(0, len(ref), 2)]
+        given.append((ref, hyp))
+    given.append((["abc" * 15, "abc" * 15], ["abc" * 30]))
+    compared = []
+    monkeypatch.setattr(align, "distance", lambda a, b: compared.append((a, b)) or table(a, b))
+    monkeypatch.setattr(align, "_SEEN", {})
+    found = align.compound_scripts(given)
+    # Only tokens of more than 64 characters are compared one by one.
+    assert all(len(b) > 64 for _, b in compared)
+    assert [align.compound_script(*x) for x in given] == found
+    whole = lambda script: not any(k[5] and k[3] == k[4] or k[0] == align.DELETE for k in script)
+    for (ref, hyp), script in zip(given, found, strict=True):
+        assert [x[1] for x in script if x[1] is not None] == list(range(len(ref)))
+        if whole(script):
+            assert abs(cost_of(script, ref, hyp) - slow_compound(ref, hyp)) < 1e-9
+    assert sum(map(whole, found)) > 40
+    monkeypatch.setattr(align, "CELLS", 16)
+    monkeypatch.setattr(align, "_SEEN", {})
+    assert align.compound_scripts(given) == found
