@@ -359,3 +359,14 @@ def test_compounds_of_many_pairs_at_once(monkeypatch):
     monkeypatch.setattr(align, "CELLS", 16)
     monkeypatch.setattr(align, "_SEEN", {})
     assert align.compound_scripts(given) == found
+
+
+def test_pairs_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    from tallyscript.plans import catalogue
+
+    spark.range(40).select(F.col("id").alias("p_partkey"), F.concat(F.lit("a b"), F.col("id")).alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).select((F.col("id") % 4).alias("conv_id"), F.floor(F.col("id") / 4).alias("turn"), F.lit("user").alias("role"), F.lit("a b").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(catalogue, "NAMES", 4)
+    monkeypatch.setattr(catalogue, "TURNS", 5)
+    parts, turns = catalogue.part_pairs(spark, str(tmp_path)), catalogue.conversation_pairs(spark, str(tmp_path))
+    assert (parts.rdd.getNumPartitions(), turns.rdd.getNumPartitions(), parts.count(), turns.count()) == (10, 8, 39, 36)
