@@ -129,18 +129,11 @@ class KeyTerms(MetricParams):
         return {"vocab": self.vocab, "normalized": self.normalized, "allow_subset_matches": self.allow_subset_matches, "only_local_matches": getattr(self, "only_local_matches", False)}
 
 
-def _segments(metric: Metric, kind: str, sides: str) -> DataFrame:
-    """(ex_id, m, segment): the operations of each match. Only examples that have one are aligned, and where their tokens'
-    operations are is found once per example."""
-    p, d = metric.params, metric.dataset
-    found = d.key_term_matches(p.vocab, metric.key, normalized=p.normalized, allow_subset_matches=p.allow_subset_matches, only_local_matches=p.only_local_matches)
-    by = found.where(F.col("side").isin(*sides.split())).groupBy("ex_id").agg(F.collect_list(F.struct("side", "s", "e")).alias("spans"))
-    make = {"levenshtein": A.edit_script, "error_align": A.compound_align}[kind]
-    ops = d.tokenized(metric.key).join(by, "ex_id").select("ex_id", "spans", make(F.col("ref"), F.col("hyp"), p.normalized).alias("ops"))
-    at = {s: A.places(F.col("ops"), s).alias(f"at_{s}") for s in sides.split()}
-    each = ops.select("ex_id", "ops", *at.values(), F.explode("spans").alias("m"))
-    own = F.when(F.col("m.side") == "ref", F.col("at_ref")).otherwise(F.col("at_hyp")) if len(at) > 1 else F.col(f"at_{sides}")
-    return each.select("ex_id", "m", A.segment(F.col("ops"), own, F.col("m.s"), F.col("m.e")).alias("segment"))
+def _spans(metric: Metric, texts: DataFrame) -> DataFrame:
+    """texts with a column spans: all matches of an example in one row, null if there are none."""
+    p = metric.params
+    found = metric.dataset.key_term_spans(p.vocab, metric.key, normalized=p.normalized, allow_subset_matches=p.allow_subset_matches, only_local_matches=p.only_local_matches)
+    return texts.join(found, "ex_id", "left")
 
 
 @METRICS.register("_kt_stats", tokenizer="key_term")
@@ -148,16 +141,13 @@ class KeyTermStats(Metric):
     short_name_base, long_name_base = "KT stats", "Key Term Statistics"
     description = "Key terms in references and hypotheses, and which of them are right."
     param_schema = KeyTerms
-    _names = ("num_ref_terms", "num_hyp_terms", "num_tp", "num_fn", "num_fp")
+    _names = A.TERM_COUNTS
     example_values = values = tuple(map(Value, _names))
 
     def rows(self) -> DataFrame:
-        seg = _segments(self, "levenshtein", "ref hyp")
-        judged = seg.select("ex_id", F.col("m.side").alias("side"), F.exists("segment", lambda o: o["type"] != A.MATCH).alias("bad"))
-        ref, bad = F.col("side") == "ref", F.col("bad")
-        n = lambda c: F.count_if(c)
-        counted = judged.groupBy("ex_id").agg(n(ref).alias("num_ref_terms"), n(~ref).alias("num_hyp_terms"), n(ref & ~bad).alias("num_tp"), n(ref & bad).alias("num_fn"), n(~ref & bad).alias("num_fp"))
-        return self.dataset.pairs.select("ex_id").join(counted, "ex_id", "left").select("ex_id", *(_zero(F.col(c)).alias(c) for c in self._names))
+        both = _spans(self, self.dataset.token_strings(self.key, self.params.normalized))
+        counted = both.select("ex_id", A.term_counts(F.col("ref"), F.col("hyp"), F.col("spans")).alias("n"))
+        return counted.select("ex_id", *(F.col(f"n.{c}").alias(c) for c in self._names))
 
     def aggregates(self) -> dict[str, Column]:
         return {n: _sum(n) for n in self._names}
@@ -251,14 +241,9 @@ class RelaxedStats(Metric):
     values = (Value("num_ref_terms"),)
 
     def rows(self) -> DataFrame:
-        seg = _segments(self, "error_align", "ref")
-        texts = seg.select("ex_id", "segment", A.joined_side(F.col("segment"), "ref").alias("r"), A.joined_side(F.col("segment"), "hyp").alias("h"))
-        partial = F.get("segment", F.lit(0))["hyp_lp"].cast("long") + F.element_at("segment", -1)["hyp_rp"].cast("long")
-        stats = texts.select("ex_id", F.struct((char_distance(F.col("r"), F.col("h")) + F.coalesce(partial, F.lit(0))).alias("char_edits"), F.length("r").cast("long").alias("ref_chars"), F.col("segment").alias("segment")).alias("stat"))
-        by = stats.groupBy("ex_id").agg(F.collect_list("stat").alias("term_stats"))
-        rows = self.dataset.pairs.select("ex_id").join(by, "ex_id", "left")
-        empty = F.array().cast(dict(by.dtypes)["term_stats"])
-        return rows.select("ex_id", F.coalesce("term_stats", empty).alias("term_stats")).withColumn("num_ref_terms", F.size("term_stats").cast("long"))
+        both = _spans(self, self.dataset.tokenized(self.key).select("ex_id", "ref", "hyp"))
+        stats = both.select("ex_id", A.term_edits(F.col("ref"), F.col("hyp"), F.col("spans"), self.params.normalized).alias("term_stats"))
+        return stats.withColumn("num_ref_terms", F.size("term_stats").cast("long"))
 
     def aggregates(self) -> dict[str, Column]:
         return {"num_ref_terms": _sum("num_ref_terms")}

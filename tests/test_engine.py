@@ -370,3 +370,47 @@ def test_pairs_are_spread_by_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue, "TURNS", 5)
     parts, turns = catalogue.part_pairs(spark, str(tmp_path)), catalogue.conversation_pairs(spark, str(tmp_path))
     assert (parts.rdd.getNumPartitions(), turns.rdd.getNumPartitions(), parts.count(), turns.count()) == (10, 8, 39, 36)
+
+
+def test_matches_of_all_windows(spark, monkeypatch):
+    from tallyscript.operators import terms
+
+    rnd = random.Random(6)
+    words = lambda n: [rnd.choice("aaaaabcd") for _ in range(n)]
+    texts = [(i, side, words(rnd.randrange(0, 15))) for i in range(60) for side in ("ref", "hyp")]
+    own = [("v", list(t)) for t in dict.fromkeys(tuple(words(rnd.choice([1, 2, 3, 5]))) for _ in range(12))]
+    rows = spark.createDataFrame(texts, "ex_id long, side string, toks array<string>")
+    patterns = terms.patterns(spark.createDataFrame(own, "vocab string, toks array<string>"))
+    whole = {(i, side, "v", s, s + len(t)) for i, side, toks in texts for _, t in own for s in range(len(toks)) if toks[s : s + len(t)] == t}
+    outer = {m for m in whole if not any(o[:2] == m[:2] and o != m and o[3] <= m[3] and m[4] <= o[4] for o in whole)}
+    for bits in (0, 20):
+        monkeypatch.setattr(terms, "SIEVE_BITS", max(1, bits))
+        found = lambda **o: [tuple(r) for r in terms.select_matches(rows, patterns, **o).collect()]  # noqa: E731, B023
+        assert sorted(found(allow_subset_matches=True)) == sorted(whole) and sorted(found()) == sorted(outer)
+    by = {r["ex_id"]: r["spans"] for r in terms.matches_by_example(rows, patterns).collect()}
+    assert set(by) == {m[0] for m in outer} and sum(map(len, by.values())) == len(outer)
+
+
+def test_statistics_of_terms_are_those_of_their_operations(spark):
+    rnd = random.Random(7)
+    text = lambda: " ".join(rnd.choice(["blood", "pressure", "bloodpressure", "of", "oft", "Ünlike"]) for _ in range(rnd.randrange(1, 12)))
+    d = pairs(spark, [(text(), text()) for _ in range(40)] + [("x", "y")]).add_key_term_list("v", ["blood pressure", "pressure", "of blood", "unlike"])
+    key = PipelineKey(tokenizer="key_term")
+    rows = {r["ex_id"]: r for r in d.metrics.get("_kt_stats", vocab="v").examples().collect()}
+    spans = [tuple(r) for r in d.key_term_matches("v", key).collect()]
+    script = {r["ex_id"]: r["ops"] for r in d.alignments("levenshtein", key).collect()}
+    expected = {i: [0] * 5 for i in rows}
+    for i, side, _, s, e in spans:
+        at = [k for k, o in enumerate(script[i]) if o[f"{side}_idx"] is not None]
+        bad = any(o["type"] != align.MATCH for o in script[i][at[s] : at[e - 1] + 1])
+        for k, n in enumerate((side == "ref", side == "hyp", side == "ref" and not bad, side == "ref" and bad, side == "hyp" and bad)):
+            expected[i][k] += n
+    assert {i: list(r)[1:] for i, r in rows.items()} == expected and sum(map(sum, expected.values())) > 50
+    # The operations of a term joined by the built-in expressions.
+    stats = d.metrics.get("_rkt_stats", vocab="v").examples().select("ex_id", F.explode("term_stats").alias("t")).select("ex_id", "t.*")
+    from tallyscript.operators.distance import char_distance
+
+    texts = stats.select("*", *(align.joined_side(F.col("segment"), side).alias(side[0]) for side in ("ref", "hyp"))).withColumn("d", char_distance(F.col("r"), F.col("h")))
+    found = texts.collect()
+    assert len(found) == sum(s[1] == "ref" for s in spans) > 20
+    assert all(x["ref_chars"] == len(x["r"]) and x["char_edits"] == x["d"] + x["segment"][0]["hyp_lp"] + x["segment"][-1]["hyp_rp"] for x in found)
