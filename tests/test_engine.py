@@ -414,3 +414,18 @@ def test_statistics_of_terms_are_those_of_their_operations(spark):
     found = texts.collect()
     assert len(found) == sum(s[1] == "ref" for s in spans) > 20
     assert all(x["ref_chars"] == len(x["r"]) and x["char_edits"] == x["d"] + x["segment"][0]["hyp_lp"] + x["segment"][-1]["hyp_rp"] for x in found)
+
+
+def test_ngrams_and_standards_in_one_pass(spark):
+    p = config.Pipelines.of(config.load_config())
+    given = ["It’s a  well–known／old ‘case’, isn`t it", "  x", "", None, "a b"]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    one = lambda c: text.normalize_slash_variants(text.normalize_hyphen_variants(text.normalize_apostrophe_variants(text.nfc(c))))
+    whole = p.standardizers["default"](F.col("t"))
+    assert df.select(whole).collect() == df.select(one(F.col("t"))).collect()
+    # One pass over a text, not one for each kind of variants.
+    assert str(whole).count("translate(") == 1
+    toks = config.tokens(p, PipelineKey(), F.col("t"))
+    rows = df.where("t is not null").select(*(F.transform(sequences.windows(toks, n), lambda w: sequences.joined(w)).alias(f"w{n}") for n in (2, 3)), *(sequences.ngrams(toks, n, join_tokens=True).alias(f"g{n}") for n in (2, 3)), sequences.ngrams(toks, 2).alias("n"), sequences.spaced_ngrams(sequences.texts(toks), 2).alias("s")).collect()
+    for r in rows:
+        assert r["w2"] == r["g2"] and r["w3"] == r["g3"] and [" ".join(g) for g in r["n"]] == r["s"]
